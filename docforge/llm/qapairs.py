@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions.language import _OF, is_cjk, language
 from docforge.functions.words import words
-from docforge.llm.common import column, mapped
+from docforge.llm.common import column, mapped, sampled
 from docforge.llm.cutoff import ending
 from docforge.llm.standins import says_nothing
 from docforge.sources.tables import table
@@ -372,7 +372,7 @@ FIELDS = ("response_text", "gold_response")
 def trained(spark: SparkSession, folder: str) -> Field:
     """The field, trained on at most SAMPLE pairs taken by hash over all rows; without usable pairs, on examples only."""
     c = table(spark, folder, "change_requests").where("reason_for_change is not null and gold_response is not null").select("cr_id", "reason_for_change", "gold_response")
-    rows = [(x.reason_for_change, x.gold_response) for x in c.orderBy(F.xxhash64("cr_id", F.lit(2)), "cr_id").limit(SAMPLE).collect()]
+    rows = [(x.reason_for_change, x.gold_response) for x in sampled(c, "cr_id", SAMPLE, 2).collect()]
     seqs, tags = made(rows + _EXAMPLES)
     return Field().fit(seqs, tags)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions.language import FUNCTION_WORDS, language
 from docforge.functions.words import words
-from docforge.llm.common import column, mapped
+from docforge.llm.common import column, mapped, sampled
 from docforge.sources.tables import table
 
 #: Graded documents that the ranker is fitted on, at most; pairs of them; words of the learnt vocabulary.
@@ -144,7 +144,7 @@ def graded(spark: SparkSession, folder: str) -> DataFrame:
 def fitted(spark: SparkSession, folder: str, held_out: bool = False) -> Ranker:
     """The ranker, fitted on at most SAMPLE graded documents, taken by hash; ``held_out`` leaves a fifth of them out."""
     labels = graded(spark, folder).where("pmod(xxhash64(doc_id, 5), 5) > 0") if held_out else graded(spark, folder)
-    few = labels.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SAMPLE)
+    few = sampled(labels, "doc_id", SAMPLE, 3)
     rows = table(spark, folder, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id").select("text", "level").collect()
     return Ranker.fit([r.text for r in rows], [r.level for r in rows])
 
