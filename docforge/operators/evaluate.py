@@ -69,7 +69,8 @@ def token_f1(df: DataFrame, key: str, prediction: Column, gold: Column) -> DataF
 def rouge_n(df: DataFrame, key: str, prediction: Column, gold: Column, n: int) -> DataFrame:
     """(key, rouge): F measure of the n-gram overlap of lower-cased words (M-4); 0 without any."""
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = df.select(key, T.ngrams(words(prediction), n).alias("_p"), T.ngrams(words(gold), n).alias("_g"))
+    split = df.select(key, words(prediction).alias("_a"), words(gold).alias("_b"))
+    rows = split.select(key, T.ngrams("_a", n).alias("_p"), T.ngrams("_b", n).alias("_g"))
     bag = lambda c: rows.select(key, F.explode(c).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias(f"n{c}"))
     common = bag("_p").join(bag("_g"), [key, "w"]).groupBy(key).agg(F.sum(F.least("n_p", "n_g")).alias("common"))
     value = F.when(F.col("common") > 0, 2 * F.col("common") / (F.size("_p") + F.size("_g"))).otherwise(0.0)
