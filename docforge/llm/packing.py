@@ -89,7 +89,8 @@ def assigned(sizes: DataFrame, capacity: int) -> DataFrame:
                     out[name].append(value)
         return out
 
-    pieces = mapped(sizes, cut, "doc_id long, piece int, size int, n_pieces int")
+    # written first: a range partitioning samples its input, which would else be tokenised twice
+    pieces = written(mapped(sizes, cut, "doc_id long, piece int, size int, n_pieces int"), "pieces")
     order = ("size", "doc_id", "piece")
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
