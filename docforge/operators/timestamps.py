@@ -243,7 +243,7 @@ def normalised(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(row_id, value, instant, format, backed, n_readings, n_backed) of records (row_id, source, value) in the order of
     row_id; ``sources`` has source, home_zone and date_order. Values that cannot be read have a null instant and format.
     A null or unknown source has no zone or order of its own; repeated rows are all kept; an empty table gives no rows."""
-    homes = F.broadcast(sources.select(F.lower("source").alias("source"), "home_zone", "date_order"))
+    homes = F.broadcast(sources.groupBy(F.lower("source").alias("source")).agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order")))
     named = records.withColumn("source", F.lower(F.trim(F.regexp_replace("source", r"[\s ]+", " "))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
