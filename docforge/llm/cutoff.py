@@ -13,7 +13,7 @@ from docforge.llm.common import clean_source, column, mapped
 from docforge.llm.standins import says_nothing
 from docforge.sources.tables import table
 
-_INVISIBLE = re.compile("[\\s­​-‏ - ⁠-⁤﻿]+\\Z")
+_INVISIBLE = " \t\r\n\f\v\u00a0\u00ad\u2000\u2001\u2002\u2003\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u2060\u2061\u2062\u2063\u2064\u3000\ufeff"
 _EVENT = re.compile(r"```|</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(/?)>|[(\[{)\]}“”„«»]")
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„"}
 _VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
@@ -77,7 +77,7 @@ def ending(text: str | None) -> str | None:
     Null and invisible texts and stand-ins for a missing text are not unfinished."""
     if not text or len(text) < 60 and says_nothing(text):
         return None
-    t = _INVISIBLE.sub("", text)
+    t = text.rstrip(_INVISIBLE)
     if not t:
         return None
     last = t[-1]

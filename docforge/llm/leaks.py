@@ -23,8 +23,9 @@ from docforge.sources.tables import table
 WORDS = 13
 _INLINE = {"b", "i", "u", "s", "em", "strong", "span", "font", "a", "sub", "sup", "small", "big", "mark", "tt", "code", "wbr", "abbr"}
 #: What is disregarded: tags, character references, invisible characters, and a hyphen with the line end after it.
-_SKIP = re.compile("<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)\\b[^<>]{0,500}>|&(?:#\\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]|([^\\W\\d_]+)[-‐‑­][ \\t]*\\r?\\n[ \\t>|]*(?=([^\\W\\d_]+))", re.S)
+_SKIP = re.compile("<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)\\b[^<>]{0,500}>|&(?:#\\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]|(?<=[^\\W\\d_])([-‐‑­])[ \\t]*\\r?\\n[ \\t>|]*(?=[^\\W\\d_])", re.S)
 _WORD = re.compile(r"[^\W_]+")
+_BEFORE, _AFTER = re.compile(r"[^\W\d_]{1,60}\Z"), re.compile(r"[^\W\d_]{1,60}")
 
 
 class Items:
@@ -67,11 +68,10 @@ def normalise(text: str, vocabulary: dict[str, int]) -> tuple[str, list[int], li
         keep(text[at : m.start()], at)
         s = m.group()
         if m.group(2):
-            left, right = m.group(2), m.group(3)
-            joined = (left + right).lower() in vocabulary or left.lower() not in vocabulary or right.lower() not in vocabulary
-            keep(left, m.start())
-            if not joined:
-                keep(" ", m.start() + len(left))
+            left, right = _BEFORE.search(text, max(0, m.start() - 60), m.start()), _AFTER.match(text, m.end())
+            left, right = left.group().lower() if left else "", right.group().lower() if right else ""
+            if left + right not in vocabulary and left in vocabulary and right in vocabulary:
+                keep(" ", m.start())
         elif s[0] == "<":
             if not m.group(1) or m.group(1).lower() not in _INLINE:
                 keep(" ", m.start())

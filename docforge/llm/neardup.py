@@ -41,7 +41,7 @@ def sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cr_id, key) of all records with a word triple, and (key, rep, n, regs) of each different set of triples."""
     rows = written(mapped(docs, _sketches, "cr_id long, key long, n int, regs binary"), "sketch")
     classes = rows.groupBy("key").agg(F.min_by(F.struct("cr_id", "n", "regs"), "cr_id").alias("x"))
-    return rows.select("cr_id", "key"), written(classes.select("key", F.col("x.cr_id").alias("rep"), "x.n", "x.regs"), "classes")
+    return rows.select("cr_id", "key").distinct(), written(classes.select("key", F.col("x.cr_id").alias("rep"), "x.n", "x.regs"), "classes")
 
 
 def _registers(values: list[bytes]) -> np.ndarray:

@@ -69,10 +69,10 @@ NO_REFUSALS = (
     "The request is not answered and no help can be given by the {x}.", "I am not able to accept the wording of {x}, so it is replaced by a reference.",
 )
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*\s+(?=\S)|(?<=[。！？])[\"”»]*(?=\S)|\n+")
-_QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“]*“|\"[^\"\n]{20,}\"")
+_QUOTED = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“]*“|\"[^\"\n]{20,}\"")
 _LEAD = re.compile(r"^(?:>+\s*|[QF]:\s*|[-*•]\s+|\d+[.)]\s+|\*\*[^*\n]{1,60}\*\*:?\s*|[A-Z][A-Z ]{4,40}:\s*)+")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
-_MARK = re.compile(r"[a-zäöüéè]+[A-Z]\w*|\b[A-Z]{2,}(?:[ _-][A-Z]+)*\b|\d+(?:\.\d+)*|\b[A-Z]\d+")
+_MARK = re.compile(r"(?<![^\W_])[a-zäöüéè]+[A-Z]\w*|\b[A-Z]{2,}(?:[ _-][A-Z]+)*\b|\d+(?:\.\d+)*|\b[A-Z]\d+")
 
 
 def clauses(text: str) -> list[str]:

@@ -66,8 +66,8 @@ def spec_key(spec: str | Column = "spec") -> Column:
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(cr_id, field, text, source, tech_domain): both sides and the reason of each change request that hold something;
     a null or unknown spec has the domain ``unknown``."""
-    domains = table(spark, folder, "specs").select(F.col("spec").alias("spec_key"), "tech_domain")
-    c = table(spark, folder, "change_requests").withColumn("spec_key", spec_key()).join(F.broadcast(domains), "spec_key", "left")
+    domains = table(spark, folder, "specs").groupBy(F.col("spec").alias("spec_key")).agg(F.min("tech_domain").alias("tech_domain"))
+    c = table(spark, folder, "change_requests").select("cr_id", "source", "change_list", "reason_for_change", spec_key().alias("spec_key")).join(F.broadcast(domains), "spec_key", "left")
     side = lambda k: F.get("change_list", F.lit(k))
     fields = F.array(*(F.struct(F.lit(n).alias("field"), v.alias("text")) for n, v in (("change_list_0", side(0)), ("change_list_1", side(1)), ("reason_for_change", F.col("reason_for_change")))))
     rows = c.select("cr_id", clean_source().alias("source"), F.coalesce("tech_domain", F.lit("unknown")).alias("tech_domain"), F.explode(fields).alias("x"))
