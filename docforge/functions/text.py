@@ -192,6 +192,11 @@ def cosine(a: C, b: C) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def dot(a: C, b: C) -> Column:
+    """Product of two vectors."""
+    return F.aggregate(F.zip_with(col(a), col(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def data_url(content: C, mime: str) -> Column:
     """Bytes as a data URL (P-26)."""
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(col(content)))

@@ -54,27 +54,30 @@ def counted_words(words: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def _overlap(rows: DataFrame, key: str) -> DataFrame:
+    """(key, common, np, ng) of rows (key, _p, _g): the multiset overlap of two arrays and their sizes. The rows are
+    partitioned by key once; counting per word and summing per row need no further shuffle."""
+    side = lambda c, a, b: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(x.alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+    words = rows.repartition(key).select(key, F.explode_outer(F.concat(side("_p", 1, 0), side("_g", 0, 1))).alias("x"))
+    counts = words.groupBy(key, "x.w").agg(F.coalesce(F.sum("x.a"), F.lit(0)).alias("a"), F.coalesce(F.sum("x.b"), F.lit(0)).alias("b"))
+    return counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("common"), F.sum("a").alias("np"), F.sum("b").alias("ng"))
+
+
+_F_MEASURE = "case when common > 0 then 2 * common / (np + ng) else 0.0D end"
+
+
 def token_f1(df: DataFrame, key: str, prediction: Column, gold: Column) -> DataFrame:
-    """(key, f1): overlap of the two bags of normalised words (M-2); 0 without common words. Words are counted per row
-    and the counts joined, so nothing but (row, word, count) is shuffled."""
-    p, g = (F.split(T.normalised_answer(x), " ") for x in (prediction, gold))
-    rows = df.select(key, p.alias("_p"), g.alias("_g"))
-    bag = lambda c: rows.select(key, F.explode(counted_words(F.col(c))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias(f"n{c}"))
-    common = bag("_p").join(bag("_g"), [key, "w"]).groupBy(key).agg(F.sum(F.least("n_p", "n_g")).alias("common"))
-    sizes = rows.select(key, F.size(counted_words(F.col("_p"))).alias("np"), F.size(counted_words(F.col("_g"))).alias("ng"))
-    value = F.when(F.col("common") > 0, 2 * F.col("common") / (F.col("np") + F.col("ng"))).otherwise(0.0)
-    return sizes.join(common, key, "left").select(key, F.round(value, 6).alias("f1"))
+    """(key, f1): overlap of the two bags of normalised words (M-2); 0 without common words."""
+    p, g = (counted_words(F.split(T.normalised_answer(x), " ")) for x in (prediction, gold))
+    return _overlap(df.select(key, p.alias("_p"), g.alias("_g")), key).select(key, F.round(F.expr(_F_MEASURE), 6).alias("f1"))
 
 
 def rouge_n(df: DataFrame, key: str, prediction: Column, gold: Column, n: int) -> DataFrame:
     """(key, rouge): F measure of the n-gram overlap of lower-cased words (M-4); 0 without any."""
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
     split = df.select(key, words(prediction).alias("_a"), words(gold).alias("_b"))
-    rows = split.select(key, T.ngrams("_a", n).alias("_p"), T.ngrams("_b", n).alias("_g"))
-    bag = lambda c: rows.select(key, F.explode(c).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias(f"n{c}"))
-    common = bag("_p").join(bag("_g"), [key, "w"]).groupBy(key).agg(F.sum(F.least("n_p", "n_g")).alias("common"))
-    value = F.when(F.col("common") > 0, 2 * F.col("common") / (F.size("_p") + F.size("_g"))).otherwise(0.0)
-    return rows.join(common, key, "left").select(key, F.round(value, 6).alias("rouge"))
+    grams = (lambda c: F.col(c)) if n == 1 else lambda c: T.ngrams(c, n)
+    return _overlap(split.select(key, grams("_a").alias("_p"), grams("_b").alias("_g")), key).select(key, F.round(F.expr(_F_MEASURE), 6).alias("rouge"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:

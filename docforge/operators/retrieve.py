@@ -51,9 +51,10 @@ def run_size(tests: DataFrame, text: str = "text", least: int = 8, most: int = 1
 def contamination(docs: DataFrame, tests: DataFrame, n: int) -> DataFrame:
     """(item_id, doc_id, n_grams): test items and documents that share runs of n words, and how many different ones (J-3,
     R-5, R-6, A-16). The tests' runs are the small side of the join; duplicates of a document's runs are dropped after it.
-    The words are a column of their own, as an expression inside a lambda would be computed again for each run."""
-    asked = tests.select("item_id", T.white_words("text").alias("w")).select("item_id", F.explode(F.array_distinct(T.ngrams("w", n))).alias("gram"))
-    grams = docs.select("doc_id", T.white_words("text").alias("w")).select("doc_id", F.explode(T.ngrams("w", n)).alias("gram"))
+    The words are a column of their own, as an expression inside a lambda would be computed again for each run; a run is
+    joined by its 64-bit hash, so no strings are built or moved."""
+    runs = lambda df, key: df.select(key, T.white_words("text").alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))).alias("gram"))
+    asked, grams = runs(tests, "item_id").distinct(), runs(docs, "doc_id")
     return asked.join(grams, "gram").groupBy("item_id", "doc_id").agg(F.countDistinct("gram").alias("n_grams"))
 
 
