@@ -27,6 +27,8 @@ from docforge.sources.tables import table
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs of the table that the training sample is made of, at most.
 SAMPLE = 500
+# What a cut leaves at the end of a made answer: mostly nothing, else an ellipsis or half of something.
+CUT_MARKS = ("", "", "", "", "", "", "…", "...", " [", "&#8", "\\u00", "\ufffd")
 #: Clauses of a training sequence, at most (answers of any length are tagged).
 LONGEST = 14
 
@@ -35,8 +37,8 @@ CUES = {
     "self": "i i'm i'd i'll i've i’m i’d i’ll my me ich mir mich je j me moi mon prefiero puedo siento yo mi assistant model ai automated 我",
     "sorry": "sorry apologies apologise apologize afraid unfortunately regrettably sadly regret leid leider bedauere désolé désolée regrette malheureusement regret siento lamento disculpe desgraciadamente lamentablemente 抱歉 遗憾 对不起",
     "unable": "can't cannot can’t couldn't won't won’t unable impossible not isn't isn’t don't don’t no nicht kein keine ne pas impossible no 无法 不能 不会",
-    "decline": "decline declining refuse rather pass stop unanswered inappropriate limits against rules policy guidelines allow allowed permitted prevents permis autorisé permitido politique política richtlinien ablehnen weigere préfère prefiero falls outside 不便 超出 拒绝",
-    "help": "help assist comply answer respond guess speculate comment produce provide judging discussing continue topic request beantworten helfen répondre prononcer rédiger responder analizar contestar ayudar analyse 回答 提供 帮助 评论",
+    "decline": "decline declining refuse rather pass stop unanswered inappropriate limits against rules policy guidelines allow allowed permitted prevents permis autorisé permitido politique política richtlinien ablehnen weigere préfère prefiero falls outside off 不便 超出 拒绝",
+    "help": "help assist comply answer respond guess speculate produce provide judging discussing continue topic request questions weaknesses abused beantworten helfen répondre prononcer rédiger responder analizar contestar ayudar analyse 回答 提供 帮助 评论",
     "refer": "consult expert engineer professional human specialist group anything else fachkraft fachmann spécialiste adressez consulte especialista experto 专家 咨询 人士",
 }
 _CUE: dict[str, int] = {}
@@ -65,7 +67,7 @@ REFUSALS = (
 #: Sentences of proper answers that look like refusals, learnt as answers.
 NO_REFUSALS = (
     "The {x} cannot comply with the request and is unable to keep the context; it shall therefore refuse it.", "The hub declines the message when the key is stale, which is the behaviour that must be kept.",
-    "Sorry for the late reply to the group: the change is limited to {x}.", "I cannot see any other clause than 9.7.6 that needs the new identity.", "It needs no further action.",
+    "Sorry for the late reply to the group: the change is limited to {x}.", "I cannot see any other clause than 9.7.6 that needs the new identity.", "The access controller cannot comply with {x} and is unable to keep the context; it shall therefore refuse the request in RX_WARM.", "It needs no further action.",
     "The request is not answered and no help can be given by the {x}.", "I am not able to accept the wording of {x}, so it is replaced by a reference.",
 )
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*\s+(?=\S)|(?<=[。！？])[\"”»]*(?=\S)|\n+")
@@ -104,7 +106,7 @@ def _count(ws: list[str]) -> dict[str, int]:
     return n
 
 
-N_FEATURES = 40
+N_FEATURES = 44
 
 
 def features(clause: str, reason: Reason, last: bool, why: str | None, alone: bool) -> tuple[list[int], int]:
@@ -174,6 +176,8 @@ def features(clause: str, reason: Reason, last: bool, why: str | None, alone: bo
     f.append(36 + (size >= 4) + (size >= 9))
     if alone:
         f.append(39)
+    own, sorry, unable, decline, helps, refer = (bits >> k & 1 for k in range(6))
+    f += [x for x, on in ((40, own and unable), (41, unable and (helps or refer)), (42, decline and (own or helps or unable)), (43, sorry and (unable or decline or helps))) if on]
     return f, size
 
 
@@ -276,8 +280,9 @@ def sequence(answer: str, reason: Reason) -> tuple[list[list[int]], list[int]]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def verdict(tags: list[int], sizes: list[int], known_reason: bool) -> str | None:
-    """The defect of a pair by the share of the answer's tokens under each tag."""
+def verdict(tags: list[int], sizes: list[int], known_reason: bool, cut: bool = False) -> str | None:
+    """The defect of a pair by the share of the answer's tokens under each tag. ``cut``: the automaton of problem 4 finds
+    the answer unfinished, which settles pairs whose last clause is a mere stump that looks like an echo."""
     share = np.zeros(len(TAGS))
     for t, s in zip(tags, sizes):
         share[t] += max(1, s)
@@ -286,11 +291,9 @@ def verdict(tags: list[int], sizes: list[int], known_reason: bool) -> str | None
         return "refusal"
     if known_reason and share[3] > 0.5:
         return "wrong_language"
-    if known_reason and share[2] >= 0.85:
-        return "copied_question"
-    if tags[-1] == 4:
-        return "copied_question" if known_reason and share[2] > 0 and share[2] + share[4] >= 0.95 and share[2] >= 0.6 else "truncated"
-    return None
+    if cut or tags[-1] == 4:
+        return "truncated"
+    return "copied_question" if known_reason and share[2] >= 0.9 else None
 
 
 def _altered(text: str, r: random.Random) -> str:
@@ -339,15 +342,20 @@ def made(rows: list[tuple[str | None, str | None]], seed: int = 7) -> tuple[list
         thing = " ".join(w for w in a.split() if any(ch.isupper() for ch in w[1:])) or "clause 5.1"
         thing = thing.split()[0].strip(".,;:“”()`*")
         add(a, reason, lambda *_: 0)
+        if r.random() < 0.2:
+            add(a, Reason(None), lambda *_: 0)
         if r.random() < 0.3:
             n_quoted = len(clauses(q))
             add(r.choice(("> ", "", "“")) + q + "\n" + a, reason, lambda k, c, cs, n=n_quoted: 2 if k < n else 0)
-        if r.random() < 0.5:
-            parts = [r.choice(REFUSALS).format(x=thing) for _ in range(r.choice((1, 1, 2, 3)))]
-            add(" ".join(parts), reason, lambda *_: 1)
-        if r.random() < 0.15:
-            look = r.choice(NO_REFUSALS).format(x=thing)
-            add(f"{look} {a}", reason, lambda *_: 0)
+        for most in (1, 3):
+            parts = [r.choice(REFUSALS).format(x=thing) for _ in range(r.randint(1, most))]
+            if r.random() < 0.3:
+                parts.insert(0, f"You ask about {thing} at the hub.")
+            add(" ".join(parts), reason if r.random() < 0.8 else Reason(None), lambda *_: 1)
+        for rest in (a, cs[0]):
+            if r.random() < 0.45:
+                look = r.choice(NO_REFUSALS).format(x=thing)
+                add(f"{look} {rest}", reason, lambda *_: 0)
         if r.random() < 0.5:
             add(_altered(q, r), reason, lambda *_: 2)
         others = [lang for lang in by_language if lang and reason.language and lang != reason.language]
@@ -357,11 +365,13 @@ def made(rows: list[tuple[str | None, str | None]], seed: int = 7) -> tuple[list
                 add(other[1], reason, lambda *_: 3)
             else:
                 add(f"{a} The original remark read: “{other[3][0]}” It needs no further action.", reason, lambda *_: 0)
-        if len(a) > 60 and r.random() < 0.5:
-            at = r.randrange(len(a) // 2, len(a) - 3)
-            piece = a[:at].rstrip()
-            if ending(piece):
-                add(piece, reason, lambda k, c, cs: 4 if k == len(cs) - 1 else 0)
+        if r.random() < 0.3:
+            add(cs[0], reason, lambda *_: 0)
+        for whole, chance in ((a, 0.5), (cs[0], 0.4)):
+            if len(whole) > 40 and r.random() < chance:
+                piece = whole[: r.randrange(len(whole) // 2, len(whole) - 3)].rstrip() + r.choice(CUT_MARKS)
+                if ending(piece):
+                    add(piece, reason, lambda k, c, cs: 4 if k == len(cs) - 1 else 0)
     return seqs, tags
 
 
@@ -386,7 +396,7 @@ _EXAMPLES = [
 
 def _tag_batch(field: Field, b: pa.RecordBatch) -> dict:
     out: dict[str, list] = {"cr_id": [], "answer_field": [], "defect": []}
-    rows, seqs, sizes, known = [], [], [], []
+    rows, seqs, sizes, known, cuts = [], [], [], [], []
     for i, q, *answers in zip(*(column(b, x) for x in ("cr_id", "reason_for_change", *FIELDS))):
         reason = None
         for name, a in zip(FIELDS, answers):
@@ -401,8 +411,9 @@ def _tag_batch(field: Field, b: pa.RecordBatch) -> dict:
                 seqs.append(s)
                 sizes.append(n)
                 known.append(reason.known)
-    for (i, name), tags, n, k in zip(rows, field.tag(seqs), sizes, known):
-        d = verdict(tags, n, k)
+                cuts.append(bool(ending(a)))
+    for (i, name), tags, n, k, cut in zip(rows, field.tag(seqs), sizes, known, cuts):
+        d = verdict(tags, n, k, cut)
         if d:
             for key, value in (("cr_id", i), ("answer_field", name), ("defect", d)):
                 out[key].append(value)
