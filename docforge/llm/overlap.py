@@ -1,10 +1,10 @@
-"""Problem 5: the same or nearly the same records in training and evaluation splits, by winnowing fingerprints.
+"""Problem 5: the same or nearly the same records in training and evaluation splits, by the prefix principle on word triples.
 
-Seeds (runs of neighbouring winnowed hashes) are joined across the splits, each pair's seeds chained in order, extended
-by alignment, and the likeness of the pair computed exactly. Boiler-plate seeds are kept out of the join by the prefix
-principle: if two texts share a fraction SHARE of the seeds of the larger, then under any one order of all seeds the c
-first shared ones lie among the first n - ceil(SHARE * n) + c seeds of each. So with c = ceil(MET * n) a pair must meet in
-the lesser of the two c, and the order, which puts the common seeds last, leaves most boiler-plate out: nothing is capped.
+Two texts of a likeness of THRESHOLD share at least that fraction of the triples of the larger one. So under any one order
+of all triples the c first shared ones lie among the first n - ceil(THRESHOLD * n) + c triples of each: its prefix. With
+c = ceil(MET * n) a pair must meet in the lesser of the two c. This holds for every pair, however its edits are spread; the
+order only decides how many others meet, so it puts the triples last that are common in a sample. The likeness of those
+that meet is computed exactly, and those that reach it are aligned: their winnowed seeds chained in order and extended.
 """
 
 from __future__ import annotations
@@ -21,15 +21,13 @@ from pyspark.sql import functions as F
 from docforge.functions.words import jaccard, set_key, shingle_hashes, word_hashes, words
 from docforge.functions.work import written
 from docforge.llm import winnow
-from docforge.llm.common import clean_source, column, mapped, numbers, two_sided
+from docforge.llm.common import clean_source, column, mapped, numbers, sampled, two_sided
 
 THRESHOLD = 0.55
-#: Fraction of the larger text's seeds that a pair of THRESHOLD shares at least.
-SHARE = 0.25
-#: Fraction of its seeds by which a text's prefix is longer, and in which a pair must meet there.
+#: Fraction of its triples by which a text's prefix is longer, and in which a pair must meet there.
 MET = 0.1
-#: A seed in more than this fraction of the texts is common; so there are at most (seeds a text) / COMMON of them.
-COMMON = 2e-4
+#: Texts in which the triples are counted for their order, and the texts that hold a common one at least.
+SAMPLE, COMMON = 16_000, 3
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,23 +37,54 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("cr_id", (F.col("data_split") == "train").cast("int").alias("role"), "data_split", clean_source().alias("source"), F.concat_ws(" ", "title", "original", "revised").alias("text"))
 
 
-def _printed(b: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {"cr_id": [], "key": [], "n": [], "seeds": [], "role": []}
-    for i, role, t in zip(column(b, "cr_id"), column(b, "role"), column(b, "text")):
-        h = word_hashes(words(t))
-        triples = np.unique(shingle_hashes(h, 3))
-        if len(triples):
-            out["cr_id"].append(i)
-            out["role"].append(role)
-            out["key"].append(set_key(triples))
-            out["n"].append(len(triples))
-            out["seeds"].append(np.unique(winnow.seeds(h)[1]).tolist())
-    return out
+def _triples(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(words(text)), 3))
+
+
+def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The triples that COMMON or more of the sampled texts hold, sorted, and the place of each in the order: by that
+    number, then by value. What comes to the driver is bounded by the sample."""
+    def counted(b: pa.RecordBatch) -> dict:
+        return {"triples": [_triples(t).tobytes() for t in column(b, "text")]}
+
+    found = [np.frombuffer(x.triples, dtype=np.uint64) for x in mapped(sampled(docs, "cr_id", SAMPLE, 5), counted, "triples binary").toLocalIterator()]
+    values, n = np.unique(np.concatenate(found or [np.empty(0, dtype=np.uint64)]), return_counts=True)
+    values, n = values[n >= COMMON], n[n >= COMMON]
+    place = np.empty(len(values), dtype=np.int64)
+    place[np.lexsort((values, n))] = np.arange(len(values))
+    return values, place
+
+
+def least_met(n: int) -> int:
+    return math.ceil(MET * n)
+
+
+def prefix(triples: np.ndarray, values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first triples of a text that a pair has to meet in: those that are not common by value, then the common ones."""
+    n = len(triples)
+    keep = n - math.ceil(THRESHOLD * n - 1e-9) + least_met(n)
+    at = np.searchsorted(values, triples)
+    at[at == len(values)] = 0
+    usual = values[at] == triples if len(values) else np.zeros(n, dtype=bool)
+    return np.concatenate([triples[~usual], triples[usual][np.argsort(place[at[usual]])]])[:keep]
 
 
 def printed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cr_id, key, role) of all records, and (key, role, rep, n, seeds) of each different text of a role."""
-    rows = written(mapped(docs, _printed, "cr_id long, key long, n int, seeds array<long>, role int"), "prints")
+    """(cr_id, key, role) of all records, and (key, role, rep, n, least, seeds) of each different text of a role; its
+    seeds are its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common(docs))
+
+    def prints(b: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"cr_id": [], "key": [], "n": [], "least": [], "seeds": [], "role": []}
+        for i, role, t in zip(column(b, "cr_id"), column(b, "role"), column(b, "text")):
+            triples = _triples(t)
+            if n := len(triples):
+                seeds = prefix(triples, *shared.value).view(np.int64)
+                for name, value in (("cr_id", i), ("key", set_key(triples)), ("n", n), ("least", least_met(n)), ("seeds", seeds), ("role", role)):
+                    out[name].append(value)
+        return out
+
+    rows = written(mapped(docs, prints, "cr_id long, key long, n int, least int, seeds array<long>, role int"), "prints")
     reps = rows.groupBy("key", "role").agg(F.min("cr_id").alias("cr_id"), F.count(F.lit(1)).alias("copies"))
     repeated = reps.where("copies > 1")
     spare = rows.select("cr_id", "key", "role").join(repeated.select("key", "role", F.col("cr_id").alias("rep")), ["key", "role"]).where("cr_id <> rep")
@@ -63,36 +92,17 @@ def printed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(t, e, rep_t, rep_e): pairs of a training and an evaluation text that share enough seeds of their prefixes and
+    """(t, e, rep_t, rep_e): pairs of a training and an evaluation text that share enough triples of their prefixes and
     whose sizes allow the likeness."""
-    total = classes.count()
-    seeds = classes.select(F.explode("seeds").alias("seed"))
-    common = seeds.groupBy("seed").count().where(F.col("count") > max(8, math.ceil(COMMON * total))).select("seed", F.col("count").cast("long"))
-    ranks = {s: c for s, c in common.toLocalIterator()}  # at most (mean seeds a text) / COMMON entries
-    shared = classes.sparkSession.sparkContext.broadcast(ranks)
-
-    def prefixes(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"seed": [], "key": [], "rep": [], "n": [], "least": [], "role": []}
-        rank = shared.value
-        for key, rep, n, role, s in zip(*(column(b, x) for x in ("key", "rep", "n", "role", "seeds"))):
-            usual = sorted((x for x in s if x in rank), key=lambda x: (rank[x], x))
-            least = math.ceil(MET * len(s))
-            keep = len(s) - math.ceil(SHARE * len(s)) + least
-            if len(usual) > len(s) - keep:
-                dropped = set(usual[len(usual) - (len(s) - keep) :]) if len(s) > keep else set()
-                s = [x for x in s if x not in dropped]
-            else:  # the seeds that are not common come in the order of their values
-                gone = set(usual)
-                s = [x for x in s if x not in gone][:keep]
-            out["seed"] += s
-            for name, value in (("key", key), ("rep", rep), ("n", n), ("least", least), ("role", role)):
-                out[name] += [value] * len(s)
-        return out
-
-    rows = mapped(classes, prefixes, "seed long, key long, rep long, n int, least int, role int")
-    side = lambda role, x: rows.where(f"role = {role}").select("seed", F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
-    met = side(1, "t").join(side(0, "e"), "seed").where(f"t <> e and least(n_t, n_e) >= {THRESHOLD} * greatest(n_t, n_e)")
-    return met.groupBy("t", "e", "rep_t", "rep_e").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("least_t", "least_e")).alias("least")).where("met >= least").select("t", "e", "rep_t", "rep_e")
+    side = lambda role, x: classes.where(f"role = {role}").select(F.posexplode("seeds").alias(f"at_{x}", "seed"), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
+    both = side(1, "t").join(side(0, "e"), "seed").where(f"least(n_t, n_e) >= {THRESHOLD} * greatest(n_t, n_e)")
+    # a pair of THRESHOLD shares this many triples, so its first c ones lie even nearer to the front the nearer the sizes
+    shared = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("n_t") + F.col("n_e")) - 1e-9)
+    c = F.least("least_t", "least_e")
+    met = both.where((F.col("at_t") < F.col("n_t") - shared + c) & (F.col("at_e") < F.col("n_e") - shared + c))
+    pairs = met.groupBy("rep_t", "rep_e").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("least_t", "least_e")).alias("least")).where("met >= least").select("rep_t", "rep_e")
+    key = lambda role, x: classes.where(f"role = {role}").select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(x))
+    return pairs.join(key(1, "t"), "rep_t").join(key(0, "e"), "rep_e").where("t <> e").select("t", "e", "rep_t", "rep_e")
 
 
 def _hashed(b: pa.RecordBatch) -> dict:

@@ -99,6 +99,19 @@ def test_pairs_equal_brute_force(tables, spark):
     assert set(groups) == {i for i in ids if len(s3[i])} and all(groups[a] == groups[b] for a, b in want3)
 
 
+def test_scattered_edits_are_found(tables, spark):
+    r = random.Random(11)
+    rows, want = [], set()
+    for k, step in enumerate((11, 12, 13, 14, 15, 16)):
+        ws = [f"w{k}x{r.randrange(5000)}" for _ in range(400)]
+        edited = [f"e{k}x{i}" if i % step == step // 2 else w for i, w in enumerate(ws)]
+        rows += [{"cr_id": 2 * k + j, "title": "T", "change_list": [" ".join(v[:200]), " ".join(v[200:])], "source": "Lanyue Mobile", "data_split": s} for j, (v, s) in enumerate(((ws, "train"), (edited, "test")))]
+        assert jaccard(*(shingle_set(" ".join(["T", *v])) for v in (ws, edited))) >= 0.55
+        want.add((2 * k, 2 * k + 1))
+    folder = tables.write(change_requests=rows, sources=SOURCES)
+    assert {tuple(x) for x in queries.QUERIES["p5_found"](spark, folder).collect()} == want
+
+
 def test_a_hot_band_is_paired_in_blocks(spark, monkeypatch):
     from docforge.llm import neardup
 
