@@ -666,6 +666,33 @@ def located_revision(spark, d):
     return _diff(spark, d).select("cr_id", diffs.located_revision(F.col("b"), F.col("ops")).alias("revision"))
 
 
+_REASONING = ["title", "spec", "reason_for_change", "summary_of_change", "consequences_if_not_approved"]
+
+
+def _located_rich(spark, d):
+    side = lambda k: F.when(F.size("change_list") == 2, T.sentences(_side(k)))
+    sides = _cr(spark, d).select("cr_id", T.reasoning_text(_REASONING).alias("reasoning"), side(0).alias("a"), side(1).alias("b"))
+    ops = sides.withColumn("ops", diffs.opcodes(F.col("a"), F.col("b")))
+    return ops.select("cr_id", curate.richness(F.col("reasoning"), diffs.located_revision(F.col("b"), F.col("ops"))).alias("richness"))
+
+
+@query()
+def located_richness_label(spark, d):
+    """Tokens of all reasoning fields by tokens of the changed sentences of the revision (P-31); null where either has
+    none or there are not two sides. richness_label, fixed by its SQL, takes one field and the whole revised side."""
+    return _located_rich(spark, d).withColumn("richness", F.round("richness", 6))
+
+
+@query()
+def located_richness_filter(spark, d):
+    return _located_rich(spark, d).where("richness >= 0.1").select("cr_id")
+
+
+@query()
+def located_richness_distribution(spark, d):
+    return curate.distribution(located_richness_label(spark, d), "richness")
+
+
 @query()
 def context_control(spark, d):
     rows = diffs.structured(F.col("a"), F.col("b"), F.col("ops"))

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import re
 import zipfile
 from difflib import SequenceMatcher
 
@@ -73,6 +74,31 @@ def test_diff_round_trip(spark):
         assert [l for s in x.s if s.op != "[-]" for l in s.revised] == x.b
 
 
+def test_located_richness(tables, spark):
+    kept = " ".join(f"Kept sentence number {k} stays." for k in range(80))
+    rows = [
+        {"cr_id": 1, "title": "A title", "spec": "61.497", "reason_for_change": "It was wrong.", "summary_of_change": "One added.", "consequences_if_not_approved": "Stays wrong.", "change_list": [kept, kept + " One new sentence."]},
+        {"cr_id": 2, "title": "T", "change_list": ["Old one. Same.", "New one here. Same."]},
+        {"cr_id": 3, "title": "T", "change_list": [kept, kept]}, {"cr_id": 4, "title": "T", "change_list": ["x"]}, {"cr_id": 5, "title": "T"}, {"cr_id": 6, "title": "T", "change_list": ["x", None]}, {"cr_id": 7, "change_list": ["x", "y"]},
+    ]
+    tokens = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
+    cut = lambda t: re.sub(r"([.!?])\s+", "\\1\1", t).split("\1")
+    want = {}
+    for x in rows:
+        sides, ratio = x.get("change_list") or [], None
+        if len(sides) == 2 and None not in sides:
+            a, b = map(cut, sides)
+            new = "".join("".join(b[j1:j2]) for op, _, _, j1, j2 in SequenceMatcher(None, a, b).get_opcodes() if op in ("replace", "insert"))
+            n = tokens(" ".join(x[f] for f in ("title", "spec", "reason_for_change", "summary_of_change", "consequences_if_not_approved") if x.get(f)))
+            ratio = round(n / tokens(new), 6) if n and tokens(new) else None
+        want[x["cr_id"]] = ratio
+    folder = tables.write(change_requests=rows)
+    got = {x.cr_id: x.richness for x in core.QUERIES["located_richness_label"](spark, folder).collect()}
+    assert got == want and got[1] > 1
+    assert {x.cr_id for x in core.QUERIES["located_richness_filter"](spark, folder).collect()} == {k for k, v in want.items() if v and v >= 0.1} == {1, 2}
+    assert core.QUERIES["located_richness_distribution"](spark, folder).first().n == 2
+
+
 def test_blends():
     which, sample = mix.blend([3, 1], 400)
     taken = np.cumsum(which[:, None] == np.arange(2), axis=0)
