@@ -573,6 +573,15 @@ def hit_concat(spark, d):
     return per.select("query_id", retrieve.joined_hits(F.col("hits")).alias("joined"))
 
 
+@query()
+def hit_text_concat(spark, d):
+    """The whole texts of each query's hits between numbered lines (R-3). hit_concat, fixed by its SQL, joins their
+    languages instead."""
+    hits = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    per = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("hits"))
+    return per.select("query_id", retrieve.joined_hits(F.col("hits")).alias("joined"))
+
+
 # --- structure and chunks ---
 
 _NODES = """nodes as (select doc_id, pos, case when regexp_matches(text, '^\\d+(\\.\\d+)+\\s') then 'Heading' when regexp_matches(text, '^\\s*[-*]\\s') then 'B1' when starts_with(text, '|') then 'TH' else 'Normal' end as style, text

@@ -99,6 +99,14 @@ def test_located_richness(tables, spark):
     assert core.QUERIES["located_richness_distribution"](spark, folder).first().n == 2
 
 
+def test_hits_hold_their_texts(spark):
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    want: dict[int, str] = {}
+    for x in sorted(core.QUERIES["bm25_top20"](spark, SF).collect(), key=lambda x: (x.query_id, x["rank"])):
+        want[x.query_id] = want.get(x.query_id, "") + f"#### Change {x['rank']} Begins ####\n{texts[x.doc_id]}\n#### Change {x['rank']} Ends ####\n"
+    assert want and {x.query_id: x.joined for x in core.QUERIES["hit_text_concat"](spark, SF).collect()} == want
+
+
 def test_blends():
     which, sample = mix.blend([3, 1], 400)
     taken = np.cumsum(which[:, None] == np.arange(2), axis=0)
