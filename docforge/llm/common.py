@@ -60,10 +60,6 @@ def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
-def distinct_pairs(df: DataFrame) -> DataFrame:
-    return df.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
-
-
 def groups(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """(node, group): connected components of ``pairs`` over ``nodes``, each named by its least node.
 

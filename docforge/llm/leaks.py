@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.words import words
+from docforge.llm.words import words
 from docforge.llm.common import column, mapped
 from docforge.sources.tables import table
 

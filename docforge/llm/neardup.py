@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.words import jaccard, set_key, shingle_set
+from docforge.llm.words import jaccard, set_key, shingle_set
 from docforge.functions.work import written
-from docforge.llm import setsketch
-from docforge.llm.common import column, distinct_pairs, groups, mapped, numbers, two_sided
+from docforge.llm import banding, setsketch
+from docforge.llm.common import column, groups, mapped, numbers, two_sided
 
 #: Least likeness, and by how much an estimate may lie below it and still be checked (4 standard errors of 448 registers).
 THRESHOLD, MARGIN = 0.7, 0.09
-#: A band value held by more different texts than this is not paired in its task but in blocks of this size.
-HOT = 256
+SCHEME = banding.Scheme(rows=7, bands=64, threshold=THRESHOLD, margin=MARGIN)
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,101 +41,14 @@ def sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("cr_id", "key").distinct(), written(classes.select("key", F.col("x.cr_id").alias("rep"), "x.n", "x.regs"), "classes")
 
 
-def _registers(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype=np.int16).reshape(len(values), setsketch.REGISTERS)
-
-
-def _band_rows(b: pa.RecordBatch) -> dict:
-    bands = setsketch.bands(_registers(column(b, "regs")))
-    return {"band": bands.ravel(), "key": np.repeat(numbers(b, "key"), setsketch.BANDS)}
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by band: the pairs of each short run, and of longer runs the rows themselves (hot). A run that
-    spans batches is carried on, at most HOT rows of it."""
-    band, key = np.empty(0, np.int64), np.empty(0, np.int64)
-    hot_band: int | None = None
-
-    def flush(bd: np.ndarray, ky: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.r_[True, bd[1:] != bd[:-1]])
-        size = np.diff(np.r_[first, len(bd)])
-        is_hot = np.repeat((size > HOT) | (bd[first] == hot_band if hot_band is not None else False), size)
-        parts = [(np.ones(is_hot.sum(), bool), bd[is_hot], ky[is_hot])]
-        bd, ky = bd[~is_hot], ky[~is_hot]
-        for d in range(1, HOT):
-            same = np.flatnonzero(bd[d:] == bd[:-d]) if len(bd) > d else []
-            if not len(same):
-                break
-            x, y = ky[same], ky[same + d]
-            parts.append((np.zeros(len(same), bool), np.minimum(x, y), np.maximum(x, y)))
-        h, x, y = (np.concatenate(p) for p in zip(*parts))
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(y)], names=["hot", "a", "b"])
-
-    for b in batches:
-        band, key = np.r_[band, numbers(b, "band")], np.r_[key, numbers(b, "key")]
-        if not len(band):
-            continue
-        tail = int(np.searchsorted(band, band[-1]))
-        if len(band) - tail > HOT:  # the open run is hot already: hand on its rows and remember its band
-            last = band[-1]
-            if tail:
-                yield from flush(band[:tail], key[:tail])
-            hot_band = last
-            yield from flush(band[tail:], key[tail:])
-            tail = len(band)
-        elif tail:
-            yield from flush(band[:tail], key[:tail])
-        band, key = band[tail:], key[tail:]
-    if len(band):
-        yield from flush(band, key)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each cell of two blocks whose registers promise enough likeness; rows come sorted by cell."""
-    held: list[tuple] = []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        keys, n, regs = np.array([h[1] for h in held]), np.array([h[2] for h in held], dtype=float), _registers([h[3] for h in held])
-        part, (_, g, h) = np.array([h[4] for h in held]), held[0][0]
-        for i in range(len(keys) - 1):
-            j = np.arange(i + 1, len(keys))
-            j = j[(part[j] != part[i]) | (g == h)]
-            j = j[np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])]
-            if len(j):
-                e = setsketch.estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j])
-                j = j[e >= THRESHOLD - MARGIN]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], names=["a", "b"])
-
-    for b in batches:
-        for r in zip(zip(column(b, "band"), column(b, "g"), column(b, "h")), column(b, "key"), column(b, "n"), column(b, "regs"), column(b, "part")):
-            if held and held[0][0] != r[0]:
-                yield from pairs()
-                held = []
-            held.append(r)
-    yield from pairs()
-
-
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): pairs of different sets of triples, a < b, that agree in at least one band."""
-    rows = mapped(classes.select("key", "regs"), _band_rows, "band long, key long")
-    runs = written(rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_runs, "hot boolean, a long, b long"), "runs")
-    pairs = runs.where("not hot").select("a", "b")
-    hot = runs.where("hot").select(F.col("a").alias("band"), F.col("b").alias("key"))
-    if hot.limit(1).count():
-        cut = hot.join(hot.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int"))
-        cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("g"), F.greatest("part", "other").alias("h"), "key", "part")
-        cells = cells.join(classes.select("key", "n", "regs"), "key")
-        pairs = pairs.union(cells.repartition("band", "g", "h").sortWithinPartitions("band", "g", "h").mapInArrow(_blocks, "a long, b long"))
-    return distinct_pairs(pairs)
+    return banding.candidates(classes.select(F.col("key").alias("id"), "n", "regs", F.lit(0).alias("role")), SCHEME)
 
 
 def _likely(b: pa.RecordBatch) -> dict:
     na, nb = numbers(b, "na").astype(float), numbers(b, "nb").astype(float)
-    e = setsketch.estimate(_registers(column(b, "ra")), _registers(column(b, "rb")), na, nb)
+    e = setsketch.estimate(banding.registers(column(b, "ra")), banding.registers(column(b, "rb")), na, nb)
     keep = e >= THRESHOLD - MARGIN
     return {x: numbers(b, x)[keep] for x in ("a", "b", "rep_a", "rep_b")}
 

@@ -1,33 +1,29 @@
-"""Problem 5: the same or nearly the same records in training and evaluation splits, by the prefix principle on word triples.
+"""Problem 5: the same or nearly the same records in training and evaluation splits.
 
-Two texts of a likeness of THRESHOLD share at least that fraction of the triples of the larger one. So under any one order
-of all triples the c first shared ones lie among the first n - ceil(THRESHOLD * n) + c triples of each: its prefix. With
-c = ceil(MET * n) a pair must meet in the lesser of the two c. This holds for every pair, however its edits are spread; the
-order only decides how many others meet, so it puts the triples last that are common in a sample. The likeness of those
-that meet is computed exactly, and those that reach it are aligned: their winnowed seeds chained in order and extended.
+The rolling hash is that of three consecutive words. Its minima are selected over the whole record, under many orders, and
+joined across the splits in groups of ROWS; windows of a few words select minima that are phrases, which a third of all
+records may share. Records that share LEAST groups or more get their exact likeness, and pairs that reach THRESHOLD are
+aligned: the minima of short windows (winnow) as seeds, chained in order, extended, and the gaps between them aligned.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from difflib import SequenceMatcher
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.words import jaccard, set_key, shingle_hashes, word_hashes, words
 from docforge.functions.work import written
-from docforge.llm import winnow
-from docforge.llm.common import clean_source, column, mapped, numbers, sampled, two_sided
+from docforge.llm import banding, setsketch, winnow
+from docforge.llm.common import clean_source, column, mapped, numbers, two_sided
+from docforge.llm.words import jaccard, set_key, shingle_hashes, word_hashes, words
 
 THRESHOLD = 0.55
-#: Fraction of its triples by which a text's prefix is longer, and in which a pair must meet there.
-MET = 0.1
-#: Texts in which the triples are counted for their order, and the texts that hold a common one at least.
-SAMPLE, COMMON = 16_000, 3
+#: A pair of likeness 0.55 shares 8.8 of the 160 groups of five minima on average, and two or more with probability 0.998
+#: (0.6: 0.9999), however its edits are spread; a pair of likeness 0.1 shares two with probability 2e-6.
+SCHEME = banding.Scheme(rows=5, bands=160, threshold=THRESHOLD, margin=0.09, least=2, across=True)
+#: Words of a text that are aligned at a time; the result doesn't depend on it.
+WIDTH = 8192
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,83 +33,50 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("cr_id", (F.col("data_split") == "train").cast("int").alias("role"), "data_split", clean_source().alias("source"), F.concat_ws(" ", "title", "original", "revised").alias("text"))
 
 
-def _triples(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text)), 3))
-
-
-def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The triples that COMMON or more of the sampled texts hold, sorted, and the place of each in the order: by that
-    number, then by value. What comes to the driver is bounded by the sample."""
-    def counted(b: pa.RecordBatch) -> dict:
-        return {"triples": [_triples(t).tobytes() for t in column(b, "text")]}
-
-    found = [np.frombuffer(x.triples, dtype=np.uint64) for x in mapped(sampled(docs, "cr_id", SAMPLE, 5), counted, "triples binary").toLocalIterator()]
-    values, n = np.unique(np.concatenate(found or [np.empty(0, dtype=np.uint64)]), return_counts=True)
-    values, n = values[n >= COMMON], n[n >= COMMON]
-    place = np.empty(len(values), dtype=np.int64)
-    place[np.lexsort((values, n))] = np.arange(len(values))
-    return values, place
-
-
-def least_met(n: int) -> int:
-    return math.ceil(MET * n)
-
-
-def prefix(triples: np.ndarray, values: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The first triples of a text that a pair has to meet in: those that are not common by value, then the common ones."""
-    n = len(triples)
-    keep = n - math.ceil(THRESHOLD * n - 1e-9) + least_met(n)
-    at = np.searchsorted(values, triples)
-    at[at == len(values)] = 0
-    usual = values[at] == triples if len(values) else np.zeros(n, dtype=bool)
-    return np.concatenate([triples[~usual], triples[usual][np.argsort(place[at[usual]])]])[:keep]
-
-
-def printed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cr_id, key, role) of all records, and (key, role, rep, n, least, seeds) of each different text of a role; its
-    seeds are its prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common(docs))
+def sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cr_id, key, role) of all records with a word triple, and (id, role, n, regs) of each different text of a role, whose
+    id is its least record."""
 
     def prints(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"cr_id": [], "key": [], "n": [], "least": [], "seeds": [], "role": []}
+        out: dict[str, list] = {"cr_id": [], "key": [], "n": [], "regs": [], "role": []}
         for i, role, t in zip(column(b, "cr_id"), column(b, "role"), column(b, "text")):
-            triples = _triples(t)
+            triples = np.unique(shingle_hashes(word_hashes(words(t)), 3))
             if n := len(triples):
-                seeds = prefix(triples, *shared.value).view(np.int64)
-                for name, value in (("cr_id", i), ("key", set_key(triples)), ("n", n), ("least", least_met(n)), ("seeds", seeds), ("role", role)):
+                for name, value in (("cr_id", i), ("key", set_key(triples)), ("n", n), ("regs", setsketch.registers(triples, SCHEME.registers).tobytes()), ("role", role)):
                     out[name].append(value)
         return out
 
-    rows = written(mapped(docs, prints, "cr_id long, key long, n int, least int, seeds array<long>, role int"), "prints")
-    reps = rows.groupBy("key", "role").agg(F.min("cr_id").alias("cr_id"), F.count(F.lit(1)).alias("copies"))
-    repeated = reps.where("copies > 1")
-    spare = rows.select("cr_id", "key", "role").join(repeated.select("key", "role", F.col("cr_id").alias("rep")), ["key", "role"]).where("cr_id <> rep")
-    return rows.select("cr_id", "key", "role").distinct(), rows.join(spare.select("cr_id"), "cr_id", "left_anti").withColumnRenamed("cr_id", "rep")
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(t, e, rep_t, rep_e): pairs of a training and an evaluation text that share enough triples of their prefixes and
-    whose sizes allow the likeness."""
-    side = lambda role, x: classes.where(f"role = {role}").select(F.posexplode("seeds").alias(f"at_{x}", "seed"), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
-    both = side(1, "t").join(side(0, "e"), "seed").where(f"least(n_t, n_e) >= {THRESHOLD} * greatest(n_t, n_e)")
-    # a pair of THRESHOLD shares this many triples, so its first c ones lie even nearer to the front the nearer the sizes
-    shared = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("n_t") + F.col("n_e")) - 1e-9)
-    c = F.least("least_t", "least_e")
-    met = both.where((F.col("at_t") < F.col("n_t") - shared + c) & (F.col("at_e") < F.col("n_e") - shared + c))
-    pairs = met.groupBy("rep_t", "rep_e").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("least_t", "least_e")).alias("least")).where("met >= least").select("rep_t", "rep_e")
-    key = lambda role, x: classes.where(f"role = {role}").select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(x))
-    return pairs.join(key(1, "t"), "rep_t").join(key(0, "e"), "rep_e").where("t <> e").select("t", "e", "rep_t", "rep_e")
+    rows = written(mapped(docs, prints, "cr_id long, key long, n int, regs binary, role int"), "prints")
+    members = rows.select("cr_id", "key", "role").distinct()
+    repeated = rows.groupBy("key", "role").agg(F.min("cr_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    spare = rows.select("cr_id", "key", "role").join(repeated, ["key", "role"]).where("cr_id <> rep").select("cr_id")
+    return members, rows.join(spare, "cr_id", "left_anti").select(F.col("cr_id").alias("id"), "role", "n", "regs")
 
 
 def _hashed(b: pa.RecordBatch) -> dict:
     return {"cr_id": numbers(b, "cr_id"), "hashes": [word_hashes(words(t)).tobytes() for t in column(b, "text")]}
 
 
-def _gap(a: list[int], b: list[int]) -> int:
-    """Words aligned within a gap; in a gap too large for that, the words that both sides hold, repeats counted."""
-    if len(a) * len(b) <= 250_000:
-        return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    return sum((Counter(a) & Counter(b)).values())
+def common_words(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyro 2004), WIDTH words of ``a`` at a time with the carries
+    kept, so texts of any length follow one rule."""
+    both = set(a) & set(b)
+    a, b = [x for x in a if x in both], [x for x in b if x in both]
+    carry, total = bytearray(len(b)), 0
+    for k in range(0, len(a), WIDTH):
+        part = a[k : k + WIDTH]
+        masks: dict[int, int] = {}
+        for i, x in enumerate(part):
+            masks[x] = masks.get(x, 0) | (1 << i)
+        full = (1 << len(part)) - 1
+        v = full
+        for j, y in enumerate(b):
+            m = masks.get(y, 0)
+            s = v + (v & m) + carry[j]
+            carry[j] = s >> len(part)
+            v = (s & full) | (v & ~m)
+        total += len(part) - v.bit_count()
+    return total
 
 
 def chained(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -143,7 +106,7 @@ def chained(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         if p < i or q < j:
             continue
         if p > i and q > j:
-            same += _gap(a[i:p].tolist(), b[j:q].tolist())
+            same += common_words(a[i:p].tolist(), b[j:q].tolist())
         n = min(len(a) - p, len(b) - q)
         equal = a[p : p + n] == b[q : q + n]
         run = int(np.argmin(equal)) if n and not equal.all() else n
@@ -164,19 +127,22 @@ def _aligned(b: pa.RecordBatch) -> dict:
     return out
 
 
-def class_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(t, e, likeness, covered_t, covered_e, n_seeds) of all pairs of different texts with a likeness of THRESHOLD."""
-    met = written(candidates(classes), "met")
+def class_pairs(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(t, e, likeness, covered_t, covered_e, n_seeds) of all pairs of different texts, by key, with a likeness of
+    THRESHOLD."""
+    met = banding.candidates(classes, SCHEME).select(F.col("a").alias("rep_t"), F.col("b").alias("rep_e"))
+    key = lambda x: members.select(F.col("cr_id").alias(f"rep_{x}"), F.col("key").alias(x))
+    met = written(met.join(key("t"), "rep_t").join(key("e"), "rep_e").where("t <> e"), "met")
     wanted = met.select(F.explode(F.array("rep_t", "rep_e")).alias("cr_id")).distinct()
-    hashed = written(mapped(docs.join(wanted, "cr_id", "left_semi"), _hashed, "cr_id long, hashes binary"), "hashed")
+    hashed = written(mapped(docs.join(wanted, "cr_id", "left_semi").dropDuplicates(["cr_id"]), _hashed, "cr_id long, hashes binary"), "hashed")
     side = lambda x: hashed.select(F.col("cr_id").alias(f"rep_{x}"), F.col("hashes").alias(f"h{x}"))
     return mapped(met.join(side("t"), "rep_t").join(side("e"), "rep_e"), _aligned, "t long, e long, likeness double, covered_t double, covered_e double, n_seeds int")
 
 
 def _all_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = texts(spark, folder)
-    members, classes = printed(docs)
-    pairs = written(class_pairs(docs, classes), "class-pairs")
+    members, classes = sketched(docs)
+    pairs = written(class_pairs(docs, members, classes), "class-pairs")
     same = members.groupBy("key").agg(F.min("role").alias("low"), F.max("role").alias("high")).where("low < high")
     equal = same.select(F.col("key").alias("t"), F.col("key").alias("e"), F.lit(1.0).alias("likeness"), F.lit(1.0).alias("covered_t"), F.lit(1.0).alias("covered_e"), F.lit(0).alias("n_seeds"))
     return docs, members, pairs.union(equal)

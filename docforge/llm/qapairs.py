@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.language import _OF, is_cjk, language
-from docforge.functions.words import words
+from docforge.llm.language import _OF, is_cjk, language
+from docforge.llm.words import words
 from docforge.llm.common import column, mapped, sampled
 from docforge.llm.cutoff import ending
 from docforge.llm.standins import says_nothing

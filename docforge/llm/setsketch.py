@@ -10,26 +10,25 @@ from __future__ import annotations
 
 import numpy as np
 
-from docforge.functions.words import mix
+from docforge.llm.words import mix
 
-#: Base and rate of the register scale, and the largest step.
+#: Base and rate of the register scale, and the largest step; registers of a sketch unless asked otherwise, and at most.
 BASE, RATE, STEPS = 1.02, 20.0, 16_000
-ROWS, BANDS = 7, 64
-REGISTERS = ROWS * BANDS
+REGISTERS, MOST = 448, 2048
 
 #: An odd factor a register. The items are hashes already, so their high halves are mixed enough for 32-bit products.
-_A = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_A = (mix(np.arange(1, MOST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _LN_BASE = np.log(BASE)
 _BLOCK = 1024
 
 
-def registers(items: np.ndarray) -> np.ndarray:
+def registers(items: np.ndarray, number: int = REGISTERS) -> np.ndarray:
     """int16 registers of a set of 64-bit hashes; all 0 for the empty set."""
     if not len(items):
-        return np.zeros(REGISTERS, dtype=np.int16)
+        return np.zeros(number, dtype=np.int16)
     short, low = (items >> np.uint64(32)).astype(np.uint32), None
     for k in range(0, len(short), _BLOCK):
-        x = (short[k : k + _BLOCK, None] * _A[None, :]).min(axis=0)
+        x = (short[k : k + _BLOCK, None] * _A[None, :number]).min(axis=0)
         low = x if low is None else np.minimum(low, x)
     e = -np.log1p(-(low.astype(np.float64) + 0.5) * 2.0**-32)
     return np.clip(np.floor(1.0 - np.log(e / RATE) / _LN_BASE), 0, STEPS + 1).astype(np.int16)
@@ -40,11 +39,11 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """One signed 64-bit value a band, of registers shaped (texts, REGISTERS); the band's number is part of the value."""
-    x = np.zeros((len(regs), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    for k in range(ROWS):
+def bands(regs: np.ndarray, rows: int, number: int) -> np.ndarray:
+    """One signed 64-bit value a band, of registers shaped (texts, rows * number); the band's number is part of the value."""
+    x = np.zeros((len(regs), number), dtype=np.uint64) + np.arange(1, number + 1, dtype=np.uint64)[None, :]
+    parts = regs.reshape(len(regs), number, rows).astype(np.uint64)
+    for k in range(rows):
         x = mix(x * np.uint64(0xC2B2AE3D27D4EB4F) + parts[:, :, k])
     return x.view(np.int64)
 

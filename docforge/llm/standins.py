@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from docforge.functions.words import words
+from docforge.llm.words import words
 
 # Stand-ins for a missing text, as lower-cased words.
 STAND_INS = {

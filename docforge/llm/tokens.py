@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.language import language
+from docforge.llm.language import language
 from docforge.functions.work import written
 from docforge.llm.common import clean_source, column, mapped
 from docforge.sources.tables import table

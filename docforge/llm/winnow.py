@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from docforge.functions.words import mix, shingle_hashes
+from docforge.llm.words import mix, shingle_hashes
 
 K, WINDOW, ORDER = 5, 8, 3
 

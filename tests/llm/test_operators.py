@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from docforge.functions.words import jaccard, shingle_set, words
+from docforge.llm.words import jaccard, shingle_set, words
 from docforge.llm import chunking, cutoff, leaks, packing, qapairs, queries, readability, setsketch, tokens, winnow
 from tests.conftest import DATA, SOURCES
 
@@ -57,7 +57,7 @@ def test_sketch_estimates_and_merges():
 def test_shared_runs_share_a_fingerprint():
     r = random.Random(3)
     run = words(text(r, 3))[: winnow.WINDOW + winnow.K - 1]
-    from docforge.functions.words import word_hashes
+    from docforge.llm.words import word_hashes
 
     sel = [set(winnow.selected(word_hashes(words(text(r, 4)) + run + words(text(r, 4))))[1].tolist()) for _ in range(2)]
     assert sel[0] & sel[1]
@@ -100,20 +100,57 @@ def test_pairs_equal_brute_force(tables, spark):
 
 
 def test_scattered_edits_are_found(tables, spark):
+    """Every n-th word replaced: measured against all pairs, which are true by their likeness."""
     r = random.Random(11)
     rows, want = [], set()
-    for k, step in enumerate((11, 12, 13, 14, 15, 16)):
+    for k in range(240):
+        step = (11, 12, 13, 14, 15, 16)[k % 6]
         ws = [f"w{k}x{r.randrange(5000)}" for _ in range(400)]
         edited = [f"e{k}x{i}" if i % step == step // 2 else w for i, w in enumerate(ws)]
         rows += [{"cr_id": 2 * k + j, "title": "T", "change_list": [" ".join(v[:200]), " ".join(v[200:])], "source": "Lanyue Mobile", "data_split": s} for j, (v, s) in enumerate(((ws, "train"), (edited, "test")))]
-        assert jaccard(*(shingle_set(" ".join(["T", *v])) for v in (ws, edited))) >= 0.55
-        want.add((2 * k, 2 * k + 1))
+        if jaccard(*(shingle_set(" ".join(["T", *v])) for v in (ws, edited))) >= 0.55:
+            want.add((2 * k, 2 * k + 1))
     folder = tables.write(change_requests=rows, sources=SOURCES)
-    assert {tuple(x) for x in queries.QUERIES["p5_found"](spark, folder).collect()} == want
+    got = {tuple(x) for x in queries.QUERIES["p5_found"](spark, folder).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 230
+
+
+def test_reordered_sentences_are_found(tables, spark):
+    r = random.Random(12)
+    rows, want = [], set()
+    for k in range(40):
+        parts = [sentence(r) for _ in range(30)]
+        mixed = r.sample(parts, len(parts))
+        rows += [{"cr_id": 2 * k + j, "title": None, "change_list": [" ".join(v[:15]), " ".join(v[15:])], "data_split": s} for j, (v, s) in enumerate(((parts, "validation"), (mixed, "train")))]
+        if jaccard(*(shingle_set(" ".join(v)) for v in (parts, mixed))) >= 0.55:
+            want.add((2 * k, 2 * k + 1))
+    got = {tuple(x) for x in queries.QUERIES["p5_found"](spark, tables.write(change_requests=rows, sources=SOURCES)).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_aligned_words_at_all_sizes(monkeypatch):
+    from docforge.llm import overlap
+
+    r = random.Random(13)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for width in (8192, 7):
+        monkeypatch.setattr(overlap, "WIDTH", width)
+        for _ in range(40):
+            a, b = ([r.randrange(12) for _ in range(r.randrange(60))] for _ in range(2))
+            assert overlap.common_words(a, b) == plain(a, b)
+    assert overlap.common_words(list(range(3000)), list(range(3000))[::-1]) == 1
 
 
 def test_a_hot_band_is_paired_in_blocks(spark, monkeypatch):
-    from docforge.llm import neardup
+    from docforge.llm import banding, neardup, overlap
 
     r = random.Random(8)
     base = text(r, 40).split(" ")
@@ -125,8 +162,10 @@ def test_a_hot_band_is_paired_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(docs, "cr_id long, text string")
     _, classes = neardup.sketched(df)
     want = neardup.candidates(classes).count()
-    monkeypatch.setattr(neardup, "HOT", 6)
+    across = df.withColumn("role", (df.cr_id % 2).cast("int"))
+    monkeypatch.setattr(banding, "HOT", 6)
     assert want == 40 * 39 // 2 == neardup.candidates(classes).count()
+    assert banding.candidates(overlap.sketched(across)[1], overlap.SCHEME).count() == 20 * 20
 
 
 # --- cut texts ---
