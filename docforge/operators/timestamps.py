@@ -1,9 +1,11 @@
 """Problem 7: timestamps of mixed formats, precisions and zones as one UTC instant.
 
-Every valid reading of a value is generated; a Viterbi path over each source's records chooses one, against format
-switches, backward time jumps and readings that the source's own date order does not back. The path is computed in
-blocks: each block gives the best scores between its first and last record's readings, the blocks of a source are chained
-on those (one small row a block), and each block is then solved between its fixed ends, so no source is one task.
+Every valid reading of a value is generated. A Viterbi path over each source's records, in their order, chooses one a
+record together with the order of day, month and year that the source writes slashes in at that point: changing the order
+is dear, values that the order cannot read cost, so do format switches and backward time jumps, and the order that the
+source is said to have is only where the path starts from. The path is computed in blocks: each block gives the best
+scores between its first and last record's states, the blocks of a source are chained on those (one small row a block),
+and each block is then solved between its fixed ends, so no source is one task.
 """
 
 from __future__ import annotations
@@ -50,8 +52,10 @@ _FORMATS = [(name, re.compile(pattern + _AFTER)) for name, pattern in (
 )]
 _COMPACT = re.compile(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})[T ](?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})?(?:[.,]\d+)?" + _ZONE + r"\Z")
 _BLANK = " \t\r\n\f\v ​‌‍⁠﻿　\"'"
-#: Penalties of a path: an unbacked reading, a change of format, a step back in time, and either side of a repeated hour.
-UNBACKED, SWITCH, BACKWARD, FOLD = 6.0, 0.4, 0.1, 1.0
+#: Orders of dates written with slashes, and costs of a path: a start in another order than the source is said to have, a
+#: change of order, a value that the order cannot read, a change of format, and a step back in time.
+ORDERS = ("DMY", "MDY", "YMD")
+START, CHANGE, IMPOSSIBLE, SWITCH, BACKWARD = 8.0, 12.0, 3.0, 0.4, 0.1
 _LEAST, _MOST = datetime(1970, 1, 1), datetime(2100, 1, 1)
 
 
@@ -92,16 +96,17 @@ def _year(y: str) -> int:
     return int(y) + (2000 if len(y) == 2 else 0)
 
 
-def readings(value: str | None, zone_name: str | None, order: str | None) -> list[tuple[str, int, bool]]:
-    """All valid readings of a value: (format, seconds since 1970 in UTC, whether the source's conventions back it). Null,
-    blank, impossible and dayless values have none; a zoneless local time that the clock repeats has two."""
+def readings(value: str | None, zone_name: str | None) -> list[tuple[str, int | None, str | None]]:
+    """All readings of a value: (format, seconds since 1970 in UTC, the order that it needs or null). Null, blank,
+    impossible and dayless values have none; a local time that the clock repeats has two. A value that only some orders
+    can read has a reading without an instant for each of the others."""
     text = value if not value or value.isascii() else unicodedata.normalize("NFKC", value).replace("−", "-")
     text = text.strip(_BLANK) if text else ""
     if len(text) < 6 or len(text) > 64 or not any(c.isdigit() for c in text):
         return []
     zone, out = _zone(zone_name), []
 
-    def add(name: str, y: int, m: int, d: int, g: dict, backed: bool = True) -> None:
+    def add(name: str, y: int, m: int, d: int, g: dict, order: str | None = None) -> None:
         h, mi, s = int(g.get("H") or 0), int(g.get("M") or 0), int(g.get("S") or 0)
         if ap := g.get("ap"):
             if not 1 <= h <= 12:
@@ -118,13 +123,13 @@ def readings(value: str | None, zone_name: str | None, order: str | None) -> lis
             minutes = (int(digits[:2]) * 60 + int(digits[2:])) * (-1 if off[0] == "-" else 1)
             if abs(minutes) > 14 * 60 or int(digits[2:]) > 59:
                 return
-            out.append((name, int((local - timedelta(minutes=minutes) - datetime(1970, 1, 1)).total_seconds()), backed))
+            out.append((name, int((local - timedelta(minutes=minutes) - datetime(1970, 1, 1)).total_seconds()), order))
         elif abbr := g.get("abbr"):
             minutes = _abbreviated(abbr, zone_name, y)
             if minutes is not None:
-                out.append((name, int((local - timedelta(minutes=minutes) - datetime(1970, 1, 1)).total_seconds()), backed))
+                out.append((name, int((local - timedelta(minutes=minutes) - datetime(1970, 1, 1)).total_seconds()), order))
         elif zone:
-            out.extend((name, at, backed) for at in _utc(local, zone))
+            out.extend((name, at, order) for at in _utc(local, zone))
 
     if text.isascii() and text.isdigit():
         n = len(text)
@@ -133,9 +138,9 @@ def readings(value: str | None, zone_name: str | None, order: str | None) -> lis
         elif n in (12, 14):
             add(f"ymd{n}", int(text[:4]), int(text[4:6]), int(text[6:8]), {"H": text[8:10], "M": text[10:12], "S": text[12:]})
         elif n == 10:
-            out.append(("epoch-s", int(text), True))
+            out.append(("epoch-s", int(text), None))
         elif n == 13:
-            out.append(("epoch-ms", int(text) // 1000, True))
+            out.append(("epoch-ms", int(text) // 1000, None))
         return [r for r in out if 0 <= r[1] < 4_102_444_800]
     if m := _COMPACT.match(text):
         g = m.groupdict()
@@ -151,7 +156,8 @@ def readings(value: str | None, zone_name: str | None, order: str | None) -> lis
             if len(c) == 2:
                 ways["YMD"] = (a, b, c)
             for way, (y, mo, d) in ways.items():
-                add(f"slash-{way.lower()}", _year(y.zfill(2)), int(mo), int(d), g, way == order)
+                add(f"slash-{way.lower()}", _year(y.zfill(2)), int(mo), int(d), g, way)
+            out += [(f"slash-{way.lower()}", None, way) for way in ORDERS if out and way not in {o[2] for o in out}]
         elif "mon" in g:
             month = _MONTH.get(g["mon"].lower())
             if month:
@@ -162,24 +168,41 @@ def readings(value: str | None, zone_name: str | None, order: str | None) -> lis
     return out
 
 
-def _emission(options: list[tuple[str, int, bool]]) -> list[float]:
-    names = [o[0] for o in options]
-    return [(0 if o[2] else UNBACKED) + FOLD * (names.count(o[0]) > 1) for o in options]
+State = tuple[str, int | None, str]
 
 
-def _move(a: tuple, b: tuple) -> float:
-    return SWITCH * (a[0] != b[0]) + BACKWARD * (b[1] < a[1])
+def states(options: list[tuple[str, int | None, str | None]]) -> list[State]:
+    """The states that a record can be in: a reading, and the order in force, which a reading that needs none leaves open."""
+    return [(f, at, order) for order in ORDERS for f, at, needs in options if needs in (None, order)]
 
 
-def best_path(chain: list[list[tuple]], first: int | None = None, last: int | None = None) -> tuple[float, list[int]]:
-    """Least cost, and the chosen reading of each record, with the ends fixed if given."""
-    cost = [e if first in (None, k) else float("inf") for k, e in enumerate(_emission(chain[0]))]
+def _emission(chain: list[State]) -> list[float]:
+    return [IMPOSSIBLE if at is None else 0.0 for _, at, _ in chain]
+
+
+def _start(chain: list[State], order: str | None) -> list[float]:
+    return [START if order in ORDERS and o != order else 0.0 for _, _, o in chain]
+
+
+def _move(a: State, b: State) -> float:
+    back = a[1] is not None and b[1] is not None and b[1] < a[1]
+    return CHANGE * (a[2] != b[2]) + SWITCH * (a[0] != b[0]) + BACKWARD * back
+
+
+def _forward(chain: list[list[State]], cost: list[float]) -> tuple[list[float], list[list[int]]]:
+    """Costs of the last record's states, and where each state came from, from those of the first one's."""
     back: list[list[int]] = []
     for prev, here in zip(chain, chain[1:]):
         e = _emission(here)
         step = [min((cost[i] + _move(p, o), i) for i, p in enumerate(prev)) for o in here]
         cost = [c + e[k] for k, (c, _) in enumerate(step)]
         back.append([i for _, i in step])
+    return cost, back
+
+
+def best_path(chain: list[list[State]], first: int | None = None, last: int | None = None) -> tuple[float, list[int]]:
+    """Least cost, and the chosen state of each record, with the ends fixed if given."""
+    cost, back = _forward(chain, [e if first in (None, k) else float("inf") for k, e in enumerate(_emission(chain[0]))])
     k = min(range(len(cost)), key=lambda j: (cost[j], j)) if last is None else last
     total, path = cost[k], [k]
     for b in reversed(back):
@@ -187,39 +210,38 @@ def best_path(chain: list[list[tuple]], first: int | None = None, last: int | No
     return total, path[::-1]
 
 
-_CANDIDATE = "array<struct<format:string,at:long,backed:boolean>>"
+_READING, _STATE = ("array<struct<format:string,at:long,order:string>>",) * 2
+_KIND = pa.list_(pa.struct([("format", pa.string()), ("at", pa.int64()), ("order", pa.string())]))
 
 
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Of batches sorted by block, source and order: each block's records."""
+    """Of batches sorted by block, source and order: each block's records (id, readings)."""
     key, held = None, []
     for b in rows:
         cols = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in b.schema.names}
         for k, r in enumerate(zip(cols["row_id"], cols["options"])):
-            here = (cols["block"][k], cols["source"][k])
+            here = (cols["block"][k], cols["source"][k], cols["date_order"][k])
             if here != key:
                 if held:
                     yield key, held
                 key, held = here, []
-            held.append((r[0], [(o["format"], o["at"], o["backed"]) for o in r[1]]))
+            held.append((r[0], [(o["format"], o["at"], o["order"]) for o in r[1]]))
     if held:
         yield key, held
 
 
 def _summaries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (block, source), records in _blocks(rows):
-        chain = [o for _, o in records]
-        n, m = len(chain[0]), len(chain[-1])
-        if len(chain) == 1:
-            costs = [[e if i == j else 1e18 for j in range(m)] for i, e in enumerate(_emission(chain[0]))]
-        else:
-            costs = [[best_path(chain, i, j)[0] for j in range(m)] for i in range(n)]
-        ends = [[{"format": f, "at": t, "backed": k} for f, t, k in c] for c in (chain[0], chain[-1])]
-        yield pa.RecordBatch.from_pylist([{"block": block, "source": source, "costs": costs, "head": ends[0], "tail": ends[1]}], schema=pa.schema([("block", pa.int32()), ("source", pa.string()), ("costs", pa.list_(pa.list_(pa.float64()))), *((n, pa.list_(pa.struct([("format", pa.string()), ("at", pa.int64()), ("backed", pa.bool_())]))) for n in ("head", "tail"))]))
+    schema = pa.schema([("block", pa.int32()), ("source", pa.string()), ("date_order", pa.string()), ("costs", pa.list_(pa.list_(pa.float64()))), ("head", _KIND), ("tail", _KIND)])
+    for (block, source, order), records in _blocks(rows):
+        chain = [states(o) for _, o in records]
+        e = _emission(chain[0])
+        costs = [_forward(chain, [e[k] if k == i else 1e18 for k in range(len(e))])[0] for i in range(len(e))]
+        ends = [[{"format": f, "at": t, "order": o} for f, t, o in c] for c in (chain[0], chain[-1])]
+        yield pa.RecordBatch.from_pylist([{"block": block, "source": source, "date_order": order, "costs": costs, "head": ends[0], "tail": ends[1]}], schema=schema)
 
 
 def _chained(blocks: list) -> dict[tuple, tuple[int, int]]:
-    """The readings chosen at both ends of each block: Viterbi over the blocks of a source, in order."""
+    """The states chosen at both ends of each block: Viterbi over the blocks of a source, in order."""
     out: dict[tuple, tuple[int, int]] = {}
     by: dict = {}
     for b in sorted(blocks, key=lambda b: (b.source or "", b.block)):
@@ -227,7 +249,10 @@ def _chained(blocks: list) -> dict[tuple, tuple[int, int]]:
     for source, chain in by.items():
         steps, cost = [], None
         for n, b in enumerate(chain):
-            enter = [(0.0, 0)] * len(b.head) if cost is None else [min((cost[i] + _move(t, h), i) for i, t in enumerate(chain[n - 1].tail)) for h in b.head]
+            if cost is None:
+                enter = [(c, 0) for c in _start(b.head, b.date_order)]
+            else:
+                enter = [min((cost[i] + _move(t, h), i) for i, t in enumerate(chain[n - 1].tail)) for h in b.head]
             leave = [min((enter[i][0] + b.costs[i][j], i) for i in range(len(b.head))) for j in range(len(b.tail))]
             steps.append((enter, leave))
             cost = [c for c, _ in leave]
@@ -240,37 +265,42 @@ def _chained(blocks: list) -> dict[tuple, tuple[int, int]]:
 
 
 def normalised(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """(row_id, value, instant, format, backed, n_readings, n_backed) of records (row_id, source, value) in the order of
-    row_id; ``sources`` has source, home_zone and date_order. Values that cannot be read have a null instant and format.
-    A null or unknown source has no zone or order of its own; repeated rows are all kept; an empty table gives no rows."""
+    """(row_id, instant_utc, format, slash_order, n_readings, n_instants) of records (row_id, source, value) in the order of
+    row_id; ``sources`` has source, home_zone and date_order. ``slash_order`` is the order that the path finds the source
+    to write slashes in there, ``n_readings`` the instants that any order gives, ``n_instants`` those of the chosen format
+    and order. Values that cannot be read have a null instant, those of no reading a null format too. A null or unknown
+    source has no zone, and no order to start from; repeated rows are all kept; an empty table gives no rows."""
     homes = F.broadcast(sources.groupBy(F.lower("source").alias("source")).agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order")))
     named = records.withColumn("source", F.lower(F.trim(F.regexp_replace("source", r"[\s ]+", " "))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("format", pa.string()), ("at", pa.int64()), ("backed", pa.bool_())]))
         for b in batches:
             c = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
-            options = [[{"format": f, "at": t, "backed": k} for f, t, k in readings(v, z, o)] for v, z, o in zip(c["value"].to_pylist(), c["home_zone"].to_pylist(), c["date_order"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([c["row_id"], c["source"], c["value"], pa.array(options, type=kind)], names=["row_id", "source", "value", "options"])
+            options = [[{"format": f, "at": t, "order": o} for f, t, o in readings(v, z)] for v, z in zip(c["value"].to_pylist(), c["home_zone"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([c["row_id"], c["source"], c["date_order"], pa.array(options, type=_KIND)], names=["row_id", "source", "date_order", "options"])
 
-    read_rows = named.join(homes, "source", "left").select("row_id", "source", "value", "home_zone", "date_order").mapInArrow(read, f"row_id long, source string, value string, options {_CANDIDATE}")
-    rows = written(read_rows.repartitionByRange("source", "row_id").sortWithinPartitions("source", "row_id").withColumn("block", F.spark_partition_id()), "readings")
-    dated = rows.where("size(options) > 0").select("block", "source", "row_id", "options").repartition("block").sortWithinPartitions("block", "source", "row_id")
-    ends = _chained(dated.mapInArrow(_summaries, f"block int, source string, costs array<array<double>>, head {_CANDIDATE}, tail {_CANDIDATE}").collect())
-    shared = rows.sparkSession.sparkContext.broadcast(ends)
+    # written first: a range partitioning samples its input, whose values would else be read twice
+    read_rows = written(named.join(homes, "source", "left").select("row_id", "source", "value", "home_zone", "date_order").mapInArrow(read, f"row_id long, source string, date_order string, options {_READING}"), "readings")
+    some = read_rows.where("size(options) > 0").repartitionByRange("source", "row_id").sortWithinPartitions("source", "row_id").withColumn("block", F.spark_partition_id())
+    dated = written(some, "blocks").repartition("block").sortWithinPartitions("block", "source", "row_id")
+    # a row a block and source comes to the driver
+    ends = _chained(dated.mapInArrow(_summaries, f"block int, source string, date_order string, costs array<array<double>>, head {_STATE}, tail {_STATE}").collect())
+    shared = records.sparkSession.sparkContext.broadcast(ends)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in _blocks(batches):
-            first, last = shared.value[key]
-            _, path = best_path([o for _, o in held], first, last)
-            chosen = [o[k] for (_, o), k in zip(held, path)]
+        for (block, source, _), held in _blocks(batches):
+            chain = [states(o) for _, o in held]
+            _, path = best_path(chain, *shared.value[block, source])
+            chosen = [c[k] for c, k in zip(chain, path)]
+            same = [len({at for f, at, needs in o if at is not None and f == c[0] and needs in (None, c[2])}) for (_, o), c in zip(held, chosen)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([i for i, _ in held], pa.int64()), pa.array([c[0] for c in chosen]), pa.array([c[1] for c in chosen], pa.int64()), pa.array([c[2] for c in chosen]),
-                pa.array([len(o) for _, o in held], pa.int32()), pa.array([sum(x[2] for x in o) for _, o in held], pa.int32()),
-            ], names=["row_id", "format", "at", "backed", "n_readings", "n_backed"])
+                pa.array([sum(x[1] is not None for x in o) for _, o in held], pa.int32()), pa.array(same, pa.int32()),
+            ], names=["row_id", "format", "at", "slash_order", "n_readings", "n_instants"])
 
-    solved = dated.mapInArrow(solve, "row_id long, format string, at long, backed boolean, n_readings int, n_backed int")
-    unread = rows.where("size(options) = 0").select("row_id", F.lit(None).cast("string").alias("format"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("backed"), F.lit(0).alias("n_readings"), F.lit(0).alias("n_backed"))
+    solved = dated.mapInArrow(solve, "row_id long, format string, at long, slash_order string, n_readings int, n_instants int")
+    null = lambda kind: F.lit(None).cast(kind)
+    unread = read_rows.where("size(options) = 0").select("row_id", null("string").alias("format"), null("long").alias("at"), null("string").alias("slash_order"), F.lit(0).alias("n_readings"), F.lit(0).alias("n_instants"))
     return solved.unionByName(unread).withColumn("instant_utc", F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("at")
 
 
@@ -281,11 +311,11 @@ def change_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_found: each change request whose date names exactly one instant under its source's conventions."""
-    return change_dates(spark, folder).where("backed and n_backed = 1").select("cr_id", "instant_utc")
+    """p7_found: each change request whose date names exactly one instant in the format and order that the path chooses."""
+    return change_dates(spark, folder).where("n_instants = 1").select("cr_id", "instant_utc")
 
 
 def format_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many dates are written in each format, and how many of them name one instant."""
     d = change_dates(spark, folder)
-    return d.groupBy("format").agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.count_if(F.expr("backed and n_backed = 1")), F.lit(0)).alias("n_certain"))
+    return d.groupBy("format").agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.count_if(F.expr("n_instants = 1")), F.lit(0)).alias("n_certain"))

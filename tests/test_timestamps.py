@@ -9,7 +9,7 @@ from tests.conftest import SOURCES
 
 
 def one(value, zone="Europe/London", order="DMY"):
-    r = [x for x in ts.readings(value, zone, order) if x[2]]
+    r = [x for x in ts.readings(value, zone) if x[2] in (None, order)]
     assert len({x[1] for x in r}) == 1, r
     from datetime import datetime, timezone
 
@@ -35,37 +35,86 @@ def one(value, zone="Europe/London", order="DMY"):
 ])
 def test_readings(value, zone, order, expected):
     if expected is None:
-        assert ts.readings(value, zone, order) == []
+        assert ts.readings(value, zone) == []
     else:
         assert one(value, zone, order) == expected
 
 
 @pytest.mark.parametrize("value", [None, "", " ", "TBD", "2018-02-30", "2015-08", "Q4 2018", "October 2020", "99.99.2016", "x" * 100_000, "31/11/2020", "2021-03-28 01:30:00"])
 def test_no_reading(value):
-    assert [r for r in ts.readings(value, "Europe/London", "DMY") if r[2]] == []
+    assert [r for r in ts.readings(value, "Europe/London") if r[1] is not None and r[2] in (None, "DMY")] == []
 
 
 def test_repeated_hour_has_two_readings():
-    assert len(ts.readings("2021-10-31 01:30:00", "Europe/London", "DMY")) == 2
+    assert len(ts.readings("2021-10-31 01:30:00", "Europe/London")) == 2
 
 
 def test_path_in_blocks_equals_path_in_one():
     r = random.Random(4)
     names = ["a", "b", "c"]
-    chain = [[(r.choice(names), r.randrange(1000), r.random() < 0.7) for _ in range(r.randint(1, 3))] for _ in range(60)]
-    whole, path = ts.best_path(chain)
+    chain = [[(r.choice(names), r.choice((None, r.randrange(1000))), r.choice(ts.ORDERS)) for _ in range(r.randint(1, 4))] for _ in range(60)]
+    cost = lambda path: ts._start(chain[0], "MDY")[path[0]] + sum(ts._emission(c)[k] for c, k in zip(chain, path)) + sum(ts._move(chain[i][path[i]], chain[i + 1][path[i + 1]]) for i in range(len(path) - 1))
+    whole = min(ts._start(chain[0], "MDY")[k] + ts.best_path(chain, k)[0] for k in range(len(chain[0])))
 
     class Block:
         def __init__(self, k, part):
-            self.source, self.block, self.head, self.tail = "s", k, part[0], part[-1]
-            n, m = len(part[0]), len(part[-1])
-            self.costs = [[ts.best_path(part, i, j)[0] if len(part) > 1 else (ts._emission(part[0])[i] if i == j else 1e18) for j in range(m)] for i in range(n)]
+            self.source, self.block, self.date_order, self.head, self.tail = "s", k, "MDY", part[0], part[-1]
+            e = ts._emission(part[0])
+            self.costs = [ts._forward(part, [x if j == i else 1e18 for j, x in enumerate(e)])[0] for i in range(len(e))]
 
     parts = [chain[k : k + 7] for k in range(0, 60, 7)]
     ends = ts._chained([Block(k, p) for k, p in enumerate(parts)])
     joined = [x for k, p in enumerate(parts) for x in ts.best_path(p, *ends[k, "s"])[1]]
-    cost = lambda path: sum(ts._emission(c)[k] for c, k in zip(chain, path)) + sum(ts._move(chain[i][path[i]], chain[i + 1][path[i + 1]]) for i in range(len(path) - 1))
-    assert cost(joined) == pytest.approx(whole) and cost(path) == pytest.approx(whole)
+    assert cost(joined) == pytest.approx(whole)
+
+
+def slashed(n, order, start=1):
+    """Records of one source, a day apart, with a full date between the slashes now and then."""
+    from datetime import date, timedelta
+
+    rows, want = [], {}
+    for k in range(n):
+        d = date(2021, 1, 1) + timedelta(days=5 * k)
+        i = start + k
+        rows.append({"cr_id": i, "date": d.isoformat() if k % 4 == 3 else f"{d.day:02}/{d.month:02}/{d.year}" if order == "DMY" else f"{d.month:02}/{d.day:02}/{d.year}"})
+        want[i] = d.isoformat()
+    return rows, want
+
+
+@pytest.mark.parametrize("said", ["DMY", "MDY", None, "YMD"])
+@pytest.mark.parametrize("written", ["DMY", "MDY"])
+def test_path_learns_the_order(tables, spark, said, written):
+    rows, want = slashed(60, written)
+    folder = tables.write(change_requests=[{**r, "source": "Sender"} for r in rows], sources=[{"source": "Sender", "home_zone": "UTC", "date_order": said}])
+    got = {r.cr_id: r.instant_utc[:10] for r in ts.found(spark, folder).collect()}
+    assert got == want
+
+
+def test_path_follows_a_change_of_order_and_keeps_one_slip_apart(tables, spark):
+    (a, wa), (b, wb) = slashed(60, "DMY"), slashed(60, "MDY", 61)
+    slip = {"cr_id": 200, "date": "03/25/2021"}
+    rows = [{**r, "source": "Sender"} for r in (*a, *b)] + [{**r, "source": "Other", "cr_id": r["cr_id"] + 1000} for r in (*a, slip)]
+    folder = tables.write(change_requests=rows, sources=[{"source": s, "home_zone": "UTC", "date_order": "DMY"} for s in ("Sender", "Other")])
+    got = {r.cr_id: r.instant_utc[:10] for r in ts.found(spark, folder).collect()}
+    near = set(range(55, 67))  # the change is placed somewhere among the dates that either order reads
+    assert {k: v for k, v in got.items() if k < 1000 and k not in near} == {k: v for k, v in (wa | wb).items() if k not in near}
+    assert {k - 1000: v for k, v in got.items() if k >= 1000} == wa
+
+
+def test_without_transitions_nothing_is_learnt(monkeypatch):
+    from datetime import datetime, timezone
+
+    rows, want = slashed(60, "MDY")
+    chain = [ts.states(ts.readings(r["date"], "UTC")) for r in rows]
+
+    def days():
+        chosen = [c[k] for c, k in zip(chain, ts.best_path(chain)[1])]
+        return {r["cr_id"]: at and datetime.fromtimestamp(at, timezone.utc).date().isoformat() for r, (_, at, _) in zip(rows, chosen)}
+
+    assert days() == want
+    for name in ("CHANGE", "SWITCH", "BACKWARD"):
+        monkeypatch.setattr(ts, name, 0.0)
+    assert days() != want
 
 
 def test_found(tables, spark):
