@@ -30,7 +30,8 @@ SPLIT, SPLITS = 3, 40
 class Scheme:
     """``bands`` bands of ``rows`` registers; pairs must share ``least`` bands. ``across``: only pairs of different roles.
     ``threshold`` less ``margin`` bounds the share of
-    registers that agree where cells are paired."""
+    registers that agree where cells are paired. ``kind``: how a register is stored, int16, or its low byte (uint8), which is
+    enough where registers are compared for equality only."""
 
     rows: int
     bands: int
@@ -38,19 +39,20 @@ class Scheme:
     margin: float
     least: int = 1
     across: bool = False
+    kind: str = "int16"
 
     @property
     def registers(self) -> int:
         return self.rows * self.bands
 
 
-def registers(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype=np.int16).reshape(len(values), -1)
+def registers(values: list[bytes], kind: str = "int16") -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1)
 
 
 def _band_rows(scheme: Scheme):
     def run(b: pa.RecordBatch) -> dict:
-        values = setsketch.bands(registers(column(b, "regs")), scheme.rows, scheme.bands)
+        values = setsketch.bands(registers(column(b, "regs"), scheme.kind), scheme.rows, scheme.bands)
         return {"band": values.ravel(), "id": np.repeat(numbers(b, "id"), scheme.bands), "role": np.repeat(numbers(b, "role"), scheme.bands)}
 
     return run
@@ -104,19 +106,22 @@ def _runs(across: bool, hot_size: int):
     return run
 
 
-def _split_rows(b: pa.RecordBatch) -> dict:
+def _split_rows(scheme: Scheme):
     """Of (bands, id, role, regs): a row for each hot band of a text and each group of further registers, keyed by both."""
-    regs = registers(column(b, "regs"))
-    width = regs.shape[1] // SPLIT
-    groups = setsketch.bands(regs[:, : width * SPLIT], SPLIT, width)
-    groups = groups[:, :: max(1, width // SPLITS)][:, :SPLITS].view(np.uint64)
-    hot = column(b, "bands")
-    times = [len(x) for x in hot]
-    of = np.repeat(np.arange(len(hot)), times)
-    flat = np.array([x for bands in hot for x in bands], dtype=np.int64).view(np.uint64)
-    keys = setsketch.mix(flat[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ groups[of])
-    n = groups.shape[1]
-    return {"band": keys.view(np.int64).ravel(), "id": np.repeat(numbers(b, "id")[of], n), "role": np.repeat(numbers(b, "role")[of], n)}
+
+    def run(b: pa.RecordBatch) -> dict:
+        regs = registers(column(b, "regs"), scheme.kind)
+        width = regs.shape[1] // SPLIT
+        groups = setsketch.bands(regs[:, : width * SPLIT], SPLIT, width)
+        groups = groups[:, :: max(1, width // SPLITS)][:, :SPLITS].view(np.uint64)
+        hot = column(b, "bands")
+        of = np.repeat(np.arange(len(hot)), [len(x) for x in hot])
+        flat = np.array([x for bands in hot for x in bands], dtype=np.int64).view(np.uint64)
+        keys = setsketch.mix(flat[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ groups[of])
+        n = groups.shape[1]
+        return {"band": keys.view(np.int64).ravel(), "id": np.repeat(numbers(b, "id")[of], n), "role": np.repeat(numbers(b, "role")[of], n)}
+
+    return run
 
 
 def _cells(scheme: Scheme):
@@ -128,7 +133,7 @@ def _cells(scheme: Scheme):
         def pairs() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            (band, g, h), regs = held[0][0], registers([x[3] for x in held])
+            (band, g, h), regs = held[0][0], registers([x[3] for x in held], scheme.kind)
             keys, n, part, role = (np.array([x[k] for x in held]) for k in (1, 2, 4, 5))
             values = setsketch.bands(regs, scheme.rows, scheme.bands)
             here = int(np.argmax(values[0] == band))
@@ -169,12 +174,13 @@ def candidates(texts: DataFrame, scheme: Scheme) -> DataFrame:
     met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") >= scheme.least).select("a", "b")
     if not hot.limit(1).count():
         return met
-    per_text = hot.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most as many as there are bands
-    split = mapped(per_text.join(texts.select("id", "role", "regs"), "id"), _split_rows, "band long, id long, role int")
+    # at most as many values as there are bands; written, so that its size is known before the registers are moved
+    per_text = written(hot.groupBy("id").agg(F.collect_set("band").alias("bands")), "hot-texts")
+    split = mapped(texts.select("id", "role", "regs").join(per_text, "id"), _split_rows(scheme), "band long, id long, role int")
     more, still = _paired(split, scheme.across, "split-runs")
     found = met.union(more)  # a pair that shares a hot band is found by its split, whatever else it shares
     if still.limit(1).count():  # texts that stay together whatever is looked at: paired in cells of their hot bands
-        dense = hot.join(still.select("id").distinct(), "id", "left_semi")
+        dense = hot.join(written(still.select("id").distinct(), "dense"), "id", "left_semi")
         cut = dense.join(dense.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
         cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("g"), F.greatest("part", "other").alias("h"), "id", "part", "role")
         cells = cells.join(texts.select("id", "n", "regs"), "id")

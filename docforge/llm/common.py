@@ -67,6 +67,8 @@ def groups(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node:
     one count a round comes to the driver, and a star's leaves are never gathered into one row.
     """
     edges = written(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
+    before = mark(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -75,8 +77,8 @@ def groups(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges, now = after, mark(after)
+        if now == before:
             break
+        before = now
     return nodes.select(F.col(node).alias("node")).join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("group"))

@@ -68,7 +68,7 @@ def class_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = candidates(classes).join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
     likely = written(mapped(both, _likely, "a long, b long, rep_a long, rep_b long"), "likely")
-    wanted = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("cr_id")).distinct()
+    wanted = written(likely.select(F.explode(F.array("rep_a", "rep_b")).alias("cr_id")).distinct(), "wanted")
     sets = written(mapped(docs.join(wanted, "cr_id", "left_semi"), _triples, "cr_id long, triples binary"), "triples")
     side = lambda x: sets.select(F.col("cr_id").alias(f"rep_{x}"), F.col("triples").alias(f"t{x}"))
     return mapped(likely.join(side("a"), "rep_a").join(side("b"), "rep_b"), _checked, "a long, b long, likeness double").where(F.col("likeness") >= THRESHOLD)

@@ -21,7 +21,7 @@ from docforge.llm.words import jaccard, set_key, shingle_hashes, word_hashes, wo
 THRESHOLD = 0.55
 #: A pair of likeness 0.55 shares 8.8 of the 160 groups of five minima on average, and two or more with probability 0.998
 #: (0.6: 0.9999), however its edits are spread; a pair of likeness 0.1 shares two with probability 2e-6.
-SCHEME = banding.Scheme(rows=5, bands=160, threshold=THRESHOLD, margin=0.09, least=2, across=True)
+SCHEME = banding.Scheme(rows=5, bands=160, threshold=THRESHOLD, margin=0.09, least=2, across=True, kind="uint8")
 #: Words of a text that are aligned at a time; the result doesn't depend on it.
 WIDTH = 8192
 
@@ -42,14 +42,15 @@ def sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for i, role, t in zip(column(b, "cr_id"), column(b, "role"), column(b, "text")):
             triples = np.unique(shingle_hashes(word_hashes(words(t)), 3))
             if n := len(triples):
-                for name, value in (("cr_id", i), ("key", set_key(triples)), ("n", n), ("regs", setsketch.registers(triples, SCHEME.registers).tobytes()), ("role", role)):
+                for name, value in (("cr_id", i), ("key", set_key(triples)), ("n", n), ("regs", setsketch.registers(triples, SCHEME.registers).astype(SCHEME.kind).tobytes()), ("role", role)):
                     out[name].append(value)
         return out
 
     rows = written(mapped(docs, prints, "cr_id long, key long, n int, regs binary, role int"), "prints")
     members = rows.select("cr_id", "key", "role").distinct()
     repeated = rows.groupBy("key", "role").agg(F.min("cr_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    spare = rows.select("cr_id", "key", "role").join(repeated, ["key", "role"]).where("cr_id <> rep").select("cr_id")
+    # written, so that its size is known before the registers are moved
+    spare = written(rows.select("cr_id", "key", "role").join(repeated, ["key", "role"]).where("cr_id <> rep").select("cr_id"), "spare")
     return members, rows.join(spare, "cr_id", "left_anti").select(F.col("cr_id").alias("id"), "role", "n", "regs")
 
 
@@ -133,9 +134,9 @@ def class_pairs(docs: DataFrame, members: DataFrame, classes: DataFrame) -> Data
     met = banding.candidates(classes, SCHEME).select(F.col("a").alias("rep_t"), F.col("b").alias("rep_e"))
     key = lambda x: members.select(F.col("cr_id").alias(f"rep_{x}"), F.col("key").alias(x))
     met = written(met.join(key("t"), "rep_t").join(key("e"), "rep_e").where("t <> e"), "met")
-    wanted = met.select(F.explode(F.array("rep_t", "rep_e")).alias("cr_id")).distinct()
-    hashed = written(mapped(docs.join(wanted, "cr_id", "left_semi").dropDuplicates(["cr_id"]), _hashed, "cr_id long, hashes binary"), "hashed")
-    side = lambda x: hashed.select(F.col("cr_id").alias(f"rep_{x}"), F.col("hashes").alias(f"h{x}"))
+    wanted = written(met.select(F.explode(F.array("rep_t", "rep_e")).alias("cr_id")).distinct(), "wanted")
+    hashed = written(mapped(docs.join(wanted, "cr_id", "left_semi"), _hashed, "cr_id long, hashes binary"), "hashed")
+    side = lambda x: hashed.dropDuplicates(["cr_id"]).select(F.col("cr_id").alias(f"rep_{x}"), F.col("hashes").alias(f"h{x}"))
     return mapped(met.join(side("t"), "rep_t").join(side("e"), "rep_e"), _aligned, "t long, e long, likeness double, covered_t double, covered_e double, n_seeds int")
 
 
