@@ -1,8 +1,8 @@
 """Problem 1: splitting oversized texts at natural boundaries, by content-defined chunking.
 
-A rolling hash over the text marks landmarks; each landmark snaps to the nearest natural boundary (clause, paragraph,
-sentence, then white space), within a least and a largest piece size. The choice depends on the text around the cut
-only, so an edit changes the neighbouring pieces and no others once a landmark is shared again.
+A rolling hash over the text marks landmarks; the first landmark behind the least piece size snaps to a natural boundary
+near it (clause or paragraph, line, sentence, then white space). The choice depends on the text around the cut only, so an
+edit changes the neighbouring pieces and no others once a landmark is shared again.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from docforge.llm.common import column, mapped
 from docforge.sources.tables import table
 
-#: Window of the rolling hash in code points; one position in DENSITY is a landmark.
-WINDOW, DENSITY = 48, 256
+#: Window of the rolling hash in code points; one position in DENSITY is a landmark; a boundary counts as near within REACH.
+WINDOW, DENSITY, REACH = 48, 512, 400
 #: Natural boundaries, the strongest first: before a numbered clause, after a blank line or a markup block, after a line,
 #: after a sentence. The cut lies at the end of the match.
 BOUNDARIES = (
@@ -99,12 +99,16 @@ def pieces(text: str | None, max_size: int, overlap: int = 0, min_size: int | No
             break
         lo, hi = cut + least, cut + room
         inside = marks[np.searchsorted(marks, lo) : np.searchsorted(marks, hi, "right")]
-        aim = int(inside[-1]) if len(inside) else hi
+        aim = int(inside[0]) if len(inside) else hi
         end, kind = _safe(text, hi), "forced"
-        for name, c in zip(names, by_class):
-            near = c[np.searchsorted(c, lo) : np.searchsorted(c, hi, "right")]
-            if len(near):
-                end, kind = int(near[np.argmin(np.abs(near - aim))]), name
+        for reach in (REACH, max_size):  # the strongest boundary near the landmark, else the strongest that there is
+            a, z = max(lo, aim - reach), min(hi, aim + reach)
+            for name, c in zip(names, by_class):
+                near = c[np.searchsorted(c, a) : np.searchsorted(c, z, "right")]
+                if len(near):
+                    end, kind = int(near[np.argmin(np.abs(near - aim))]), name
+                    break
+            if kind != "forced":
                 break
         out.append((cut - lead, cut, end, kind))
         cut = end
@@ -151,5 +155,5 @@ def boundary_report(spark: SparkSession, folder: str) -> DataFrame:
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p1_found: each side that had to be split, that is, the sides with a second piece."""
     max_size, overlap = _limit(spark, folder, "change_list_piece")
-    p = split(sides(spark, folder).where(F.length("text") > max_size), max_size, overlap, text=False)
+    p = split(sides(spark, folder), max_size, overlap, text=False)
     return p.where("piece = 1").select("cr_id", "side")
