@@ -1,13 +1,13 @@
 """Problem 8: filling containers of fixed capacity, by shortest-pack-first over the histogram of lengths (Krell et al. 2021).
 
-Lengths are placed longest first, each into the packs with the least room that still fits, on counts only: the histogram
-has at most as many entries as the capacity, whatever the number of texts. Texts get their container by their rank among
+Lengths are placed longest first, each into the shortest pack, which is the one with the most room, or into a new one if it
+doesn't fit there, on counts only: the histogram has at most as many entries as the capacity, whatever the number of texts. Texts get their container by their rank among
 the texts of their length.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions.work import written
 from docforge.llm.common import column, mapped
-from docforge.llm.tokens import VOCABULARY, token_count
+from docforge.llm.tokens import VOCABULARY, token_count, vocabulary
 from docforge.sources.tables import table
 
 
@@ -35,8 +35,7 @@ def pack(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tupl
     for length in sorted((x for x, n in histogram.items() if n and x > 0), reverse=True):
         left = histogram[length]
         while left:
-            k = bisect_left(rooms, length)
-            if k == len(rooms):  # a new pack takes as many of this length as it can hold
+            if not rooms or rooms[-1] < length:  # a new pack stays the shortest one until it can hold no more of this length
                 times = capacity // length
                 full, rest = divmod(left, times)
                 if full:
@@ -44,17 +43,17 @@ def pack(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tupl
                 if rest:
                     put(capacity - rest * length, 1, ((length, rest),))
                 break
-            room = rooms[k]
+            room = rooms[-1]
             n, pattern = packs[room].pop()
             if not packs[room]:
                 del packs[room]
-                rooms.pop(k)
-            times = min(room // length, max(1, left // n))
-            used = min(n, left // times)
+                rooms.pop()
+            used = min(n, left)
             if used < n:
                 put(room, n - used, pattern)
-            put(room - times * length, used, (*pattern, (length, times)))
-            left -= used * times
+            before, times = pattern[-1]
+            put(room - length, used, (*pattern[:-1], (length, times + 1)) if before == length else (*pattern, (length, 1)))
+            left -= used
     return sorted(((n, p) for ps in packs.values() for n, p in ps), key=lambda x: (-x[0], x[1]))
 
 
@@ -133,8 +132,10 @@ def assigned(sizes: DataFrame, capacity: int) -> DataFrame:
 
 
 def document_sizes(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFrame:
+    shared = vocabulary(spark, path)
+
     def run(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "n_tokens": [token_count(t, path) for t in column(b, "text")]}
+        return {"doc_id": b.column(0), "n_tokens": [token_count(t, shared) for t in column(b, "text")]}
 
     return mapped(table(spark, folder, "documents").select("doc_id", "text"), run, "doc_id long, n_tokens long")
 
