@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
-import os
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,40 +20,42 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
-    """The tokenizer of a rank file, loaded once a worker."""
+#: Bytes of a rank file that may be broadcast, at most.
+LARGEST = 64_000_000
+
+
+def _encoding(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pairs = (line.split() for line in ranks.splitlines() if line)
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs}, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def encoding(source: str | Broadcast):
+    """The tokenizer of a rank file, or of one that was broadcast; made once a worker."""
+    if isinstance(source, str):
+        with open(source, "rb") as f:
+            return _encoding(f.read())
+    return _encoding(source.value)
 
 
-#: Longer runs without white space are cut here before encoding: a byte-pair merge is quadratic in such a run.
-_RUN = 20_000
+def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
+    """The rank file, read where the query is made and sent to the workers, which need not have it."""
+    with open(path, "rb") as f:
+        ranks = f.read(LARGEST + 1)
+    if len(ranks) > LARGEST:
+        raise ValueError(f"the rank file {path} is larger than {LARGEST} bytes")
+    return spark.sparkContext.broadcast(ranks)
 
 
-def token_ids(text: str, path: str = VOCABULARY) -> list[int]:
-    return encoding(path).encode_ordinary(text)
+def token_ids(text: str, source: str | Broadcast = VOCABULARY) -> list[int]:
+    return encoding(source).encode_ordinary(text)
 
 
-def token_count(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of a text; 0 for null and empty. Texts of over a million characters are counted piece by piece, cut at
-    white space where there is any within reach."""
-    if not text:
-        return 0
-    if len(text) <= 1_000_000:
-        return len(token_ids(text, path))
-    n = at = 0
-    while at < len(text):
-        end = min(len(text), at + 500_000)
-        if end < len(text):
-            cut = max(text.rfind(" ", end - _RUN, end), text.rfind("\n", end - _RUN, end))
-            end = cut if cut > at else end
-        n += len(token_ids(text[at:end], path))
-        at = end
-    return n
+def token_count(text: str | None, source: str | Broadcast = VOCABULARY) -> int:
+    """Tokens of the whole text, whatever its length; 0 for null and empty."""
+    return len(token_ids(text, source)) if text else 0
 
 
 def spec_key(spec: str | Column = "spec") -> Column:
@@ -74,30 +76,37 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("cr_id", "x.*", "source", "tech_domain").where("length(text) > 0").withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
 
-def _counted(path: str):
+def _counted(shared: Broadcast):
     def run(b: pa.RecordBatch) -> dict:
         ts = column(b, "text")
-        return {**{x: b.column(b.schema.get_field_index(x)) for x in ("h1", "h2")}, "n_tokens": [token_count(t, path) for t in ts], "lang": [language(t) or "und" for t in ts]}
+        return {**{x: b.column(b.schema.get_field_index(x)) for x in ("h1", "h2")}, "n_tokens": [token_count(t, shared) for t in ts], "lang": [language(t) or "und" for t in ts]}
 
     return run
 
 
-def distinct_counts(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(h1, h2, n_tokens, lang) of each distinct text; only one row of each is tokenised, and no text is shuffled unless
-    the copies are too many to broadcast their ids."""
-    keys = rows.select("h1", "h2", "cr_id", "field")
-    first = keys.groupBy("h1", "h2").agg(F.min(F.struct("cr_id", "field")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    spare = keys.join(first, ["h1", "h2"]).where("struct(cr_id, field) <> first").select("cr_id", "field")
+def keyed(rows: DataFrame) -> DataFrame:
+    """The texts' hashes and what they are grouped by, without the texts."""
+    return written(rows.drop("text"), "keys")
+
+
+def distinct_counts(rows: DataFrame, keys: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(h1, h2, n_tokens, lang) of each distinct text; only one row of each is tokenised. The other rows' ids are written
+    first, so the planner knows their size: while they are few they are broadcast and no text is shuffled. A text of
+    another language than en, de, fr, es and zh, or too short to tell, is ``und``."""
+    few = keys.select("h1", "h2", "cr_id", "field")
+    first = few.groupBy("h1", "h2").agg(F.min(F.struct("cr_id", "field")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    spare = written(few.join(first, ["h1", "h2"]).where("struct(cr_id, field) <> first").select("cr_id", "field"), "spare")
     once = rows.join(spare, ["cr_id", "field"], "left_anti").select("h1", "h2", "text")
-    return written(mapped(once, _counted(path), "h1 long, h2 long, n_tokens long, lang string"), "tokens").dropDuplicates(["h1", "h2"])
+    return written(mapped(once, _counted(vocabulary(rows.sparkSession, path)), "h1 long, h2 long, n_tokens long, lang string"), "tokens").dropDuplicates(["h1", "h2"])
 
 
 def budget(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFrame:
     """Per source, actual language of the text and domain: its texts, its distinct texts, and its tokens in all and by
     field. Multiplicities are summed before the counts are joined, so copies cost one row each group."""
     rows = texts(spark, folder)
-    counts = distinct_counts(rows, path)
-    groups = rows.groupBy("h1", "h2", "source", "tech_domain", "field").agg(F.count(F.lit(1)).alias("n"))
+    keys = keyed(rows)
+    counts = distinct_counts(rows, keys, path)
+    groups = keys.groupBy("h1", "h2", "source", "tech_domain", "field").agg(F.count(F.lit(1)).alias("n"))
     joined = groups.join(counts, ["h1", "h2"])
     field = lambda f: F.coalesce(F.sum(F.when(F.col("field").startswith(f), F.col("n") * F.col("n_tokens"))), F.lit(0))
     return joined.groupBy("source", "lang", "tech_domain").agg(
@@ -109,7 +118,8 @@ def budget(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFram
 def per_request(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFrame:
     """The tokens of each change request, by field and in all; a request without text has zeros."""
     rows = texts(spark, folder)
-    joined = rows.select("cr_id", "field", "h1", "h2").join(distinct_counts(rows, path), ["h1", "h2"])
+    keys = keyed(rows)
+    joined = keys.select("cr_id", "field", "h1", "h2").join(distinct_counts(rows, keys, path), ["h1", "h2"])
     field = lambda f: F.sum(F.when(F.col("field") == f, F.col("n_tokens")).otherwise(0)).alias(f"{f}_tokens")
     sums = joined.groupBy("cr_id").agg(*(field(f) for f in ("change_list_0", "change_list_1", "reason_for_change")), F.sum("n_tokens").alias("n_tokens"))
     return table(spark, folder, "change_requests").select("cr_id").join(sums, "cr_id", "left").fillna(0)
