@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,12 @@ from docforge.sources.tables import table
 WORDS = 13
 _INLINE = {"b", "i", "u", "s", "em", "strong", "span", "font", "a", "sub", "sup", "small", "big", "mark", "tt", "code", "wbr", "abbr"}
 #: What is disregarded: tags, character references, invisible characters, and a hyphen with the line end after it.
-_SKIP = re.compile("<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)\\b[^<>]{0,500}>|&(?:#\\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]|(?<=[^\\W\\d_])([-‐‑­])[ \\t]*\\r?\\n[ \\t>|]*(?=[^\\W\\d_])", re.S)
+_PARTS = "</?([A-Za-z][A-Za-z0-9]*)\\b[^<>]*>|&(?:#\\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]|(?<=[^\\W\\d_])([-‐‑­])[ \\t]*\\r?\\n[ \\t>|]*(?=[^\\W\\d_])"
+_SKIP, _SKIP_COMMENTS = re.compile(_PARTS), re.compile("<!--.*?-->|" + _PARTS, re.S)
 _WORD = re.compile(r"[^\W_]+")
-_BEFORE, _AFTER = re.compile(r"[^\W\d_]{1,60}\Z"), re.compile(r"[^\W\d_]{1,60}")
+_AFTER = re.compile(r"[^\W\d_]+")
+#: Characters of all items together that may be sent to every worker, at most.
+LARGEST = 32_000_000
 
 
 class Items:
@@ -48,10 +52,29 @@ class Items:
         self.empty = not runs
 
 
+def _skipped(text: str) -> Iterator[re.Match[str]]:
+    """What is disregarded, in order. Comments are looked for only where one can close, so that the search stays linear."""
+    end = text.rfind("-->") + 3 if "<!--" in text else 0
+    at = 0
+    if end > 2:
+        for m in _SKIP_COMMENTS.finditer(text, 0, end):
+            at = m.end()
+            yield m
+    yield from _SKIP.finditer(text, max(at, end if end > 2 else 0))
+
+
+def _half_word(text: str, end: int) -> str:
+    """The letters before a position."""
+    at = end
+    while at and text[at - 1].isalpha():
+        at -= 1
+    return text[at:end]
+
+
 def normalise(text: str, vocabulary: dict[str, int]) -> tuple[str, list[int], list[int]]:
     """The text without what is disregarded, and where its parts come from: starts in the result and in the original. A
     hyphen at a line end is dropped if the joined word is one of the vocabulary, or if one of its halves is none."""
-    if not _SKIP.search(text):
+    if not _SKIP.search(text) and "<!--" not in text:
         return text, [0], [0]
     out: list[str] = []
     starts, origins, size, at = [], [], 0, 0
@@ -64,12 +87,12 @@ def normalise(text: str, vocabulary: dict[str, int]) -> tuple[str, list[int], li
             out.append(part)
             size += len(part)
 
-    for m in _SKIP.finditer(text):
+    for m in _skipped(text):
         keep(text[at : m.start()], at)
         s = m.group()
         if m.group(2):
-            left, right = _BEFORE.search(text, max(0, m.start() - 60), m.start()), _AFTER.match(text, m.end())
-            left, right = left.group().lower() if left else "", right.group().lower() if right else ""
+            after = _AFTER.match(text, m.end())
+            left, right = _half_word(text, m.start()).lower(), after.group().lower() if after else ""
             if left + right not in vocabulary and left in vocabulary and right in vocabulary:
                 keep(" ", m.start())
         elif s[0] == "<":
@@ -125,8 +148,12 @@ def _items(shared) -> Items:
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_runs, first, last): each document and each item of which it holds at least WORDS consecutive
-    words, the number of such runs, and where in the stored text they lie. The items (a fixed list) go to every worker;
-    null and short texts and items have no hits; an empty table gives no rows; repeated rows give repeated results."""
+    words, the number of such runs, and where in the stored text they lie. The items go to every worker; a list of more than
+    LARGEST characters is refused (split it and unite the results). Null and short texts and items have no hits; an empty
+    table gives no rows; repeated rows give repeated results."""
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > LARGEST:
+        raise ValueError(f"the items have {size} characters; at most {LARGEST} can be sent to every worker")
     rows = [(r.item_id, r.text) for r in items.where("text is not null").select("item_id", "text").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
