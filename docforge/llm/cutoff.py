@@ -17,9 +17,10 @@ _INVISIBLE = " \t\r\n\f\v\u00a0\u00ad\u2000\u2001\u2002\u2003\u2009\u200a\u200b\
 _EVENT = re.compile(r"```|</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(/?)>|[(\[{)\]}“”„«»]")
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“„", "»": "«", "“": "„"}
 _VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
-#: An open bracket or quote counts only this near to the end; further back it is the author's slip.
-NEAR = 400
-_BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?\w{0,8}|%[0-9A-Fa-f]?|</?[A-Za-z]?[^<>\n]{0,60})\Z")
+#: Half of a character, an escape or a character reference; as long as such things are.
+_BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|(?<![^\W_])&#?\w{0,31}|&(?:#\w{0,8}|\w{2,31}))\Z")
+_TAG_NAME, _TAG_PART = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[\w:-]+)*"), re.compile(r"<[A-Za-z][A-Za-z0-9]*\s+(?:[\w:-]+\s+)*[\w:-]+\s*=")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\"'”»)\]]*\Z")
 _STOP = re.compile(r"[.!?。！？][\"'”»’)\]*_`]*\Z")
 #: A stop that is no end of a sentence: an abbreviation, or a number of a clause with parts still to come.
@@ -59,13 +60,24 @@ def _open(text: str) -> list[tuple[str, int]]:
         elif s in "([{“„«":
             stack.append((s, m.start()))
         elif s in _CLOSES:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
+            for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _CLOSES[s]:
                     del stack[k:]
                     break
+                if len(stack[k][0]) > 1:  # a bracket or quote does not close across a tag or a fence
+                    break
     return stack
 
 
+def _in_tag(t: str) -> bool:
+    """Whether a text ends inside a markup tag, however long the tag is: in its name, or in its attributes."""
+    at = t.rfind("<")
+    if at < 0 or t.find(">", at) >= 0:
+        return False
+    tail = t[at:]
+    return tail in ("<", "</") or bool(_TAG_NAME.fullmatch(tail) or _TAG_PART.match(tail))
+
+
 def _cells(line: str) -> int:
     return line.count("|")
 
@@ -75,21 +87,19 @@ def ending(text: str | None) -> str | None:
     ``ellipsis``, ``open`` (something opened is not closed), ``row`` (a table row with cells missing), ``item`` (a list
     item shorter than its like), ``stop`` (an abbreviation at the end) or ``bare`` (no terminator where one is due).
     Null and invisible texts and stand-ins for a missing text are not unfinished."""
-    if not text or len(text) < 60 and says_nothing(text):
+    if not text or says_nothing(text):
         return None
     t = text.rstrip(_INVISIBLE)
     if not t:
         return None
     last = t[-1]
-    if last in "�\\&%<" or (last.isalnum() or "\ud800" <= last <= "\udfff" or last in "#\"'=;/ _-") and _BROKEN.search(t[-70:]):
-        m = _BROKEN.search(t[-70:])
-        if m and (m.group()[0] in "�\\" or "\ud800" <= m.group()[0] <= "\udfff" or m.group()[0] == "&" or (m.group()[0] == "<" and re.match(r"</?[A-Za-z]|<\Z", m.group()))):
-            return "broken"
+    if (last in "�\\&#" or last.isalnum() or last == "_" or "\ud800" <= last <= "\udfff") and _BROKEN.search(t[-40:]) or _in_tag(t):
+        return "broken"
     if _ELLIPSIS.search(t[-8:]) and t.strip(".… "):
         return "ellipsis"
     for what, at in reversed(_open(t)):
         if what in "([“„«" and len(what) == 1:
-            if len(t) - at <= NEAR and "\n\n" not in t[at:]:
+            if not _PARAGRAPH.search(t, at):  # what a paragraph's end leaves open is the author's slip
                 return "open"
         else:
             return "open"
@@ -130,16 +140,18 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: A source that leaves out the terminator in more than this share of a field's values has that as its habit: there a
-#: bare ending alone is no sign of a cut.
-HABIT = 0.5
+#: bare ending alone is no sign of a cut. A source's share starts from the field's over all sources, as if WEIGHT values
+#: had been seen, so a source of a few values has a baseline too.
+HABIT, WEIGHT = 0.5, 20
 
 
 def cut_values(spark: SparkSession, folder: str) -> DataFrame:
     """The values that were cut, with the reason. A bare ending counts unless the source's baseline shows it to be the
     source's habit. Repeated rows count as often as they occur."""
     rows = written(judged(spark, folder), "endings")
-    base = rows.groupBy(F.col("source").alias("s"), F.col("field_name").alias("f")).agg((F.count_if(F.col("reason") == "bare") / F.count(F.lit(1))).alias("bare_share"), F.count(F.lit(1)).alias("n"))
-    habit = base.where(f"bare_share > {HABIT} and n >= 20").select("s", "f")
+    base = rows.groupBy(F.col("source").alias("s"), F.col("field_name").alias("f")).agg(F.count_if(F.col("reason") == "bare").alias("bare"), F.count(F.lit(1)).alias("n"))
+    fields = base.groupBy(F.col("f").alias("g")).agg((F.sum("bare") / F.sum("n")).alias("share"))
+    habit = base.join(fields, F.expr("f = g")).where((F.col("bare") + WEIGHT * F.col("share")) / (F.col("n") + WEIGHT) > HABIT).select("s", "f")
     return rows.where("reason is not null").join(habit, F.expr("source <=> s and field_name = f and reason = 'bare'"), "left_anti").select("cr_id", "source", "field_name", "reason", "size")
 
 
