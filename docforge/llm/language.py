@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Mapping
 
 # Function words of four languages. A word of several languages counts for each of them.
 FUNCTION_WORDS = {
@@ -25,16 +26,21 @@ def is_cjk(text: str) -> bool:
     return n > 0 and n >= 0.2 * sum(c.isalpha() for c in text)
 
 
-def of_words(ws: Iterable[str]) -> str | None:
-    """The language with the most function words among lower-cased words, or null if fewer than two or none leads."""
+def of_counts(words: Mapping[str, int]) -> str | None:
+    """The language with the most function words among lower-cased words and their counts, or null if there are fewer than
+    two or none leads."""
     count = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in ws:
-        for language in _OF.get(w, ()):
-            count[language] += 1
+    for w in words.keys() & _OF.keys():
+        for language in _OF[w]:
+            count[language] += words[w]
     first, second = sorted(count.values(), reverse=True)[:2]
     return max(count, key=count.get) if first >= 2 and first > second else None  # type: ignore[arg-type]
 
 
+def of_words(ws: Iterable[str]) -> str | None:
+    return of_counts(Counter(ws))
+
+
 def language(text: str | None, ws: list[str] | None = None) -> str | None:
     """``zh`` by script, else by function words; null for null, empty and undecided texts."""
     if not text:

@@ -7,6 +7,7 @@ isotonic regression on the graded documents. Both are fitted on a bounded sample
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm.language import FUNCTION_WORDS, language
+from docforge.functions.work import written
+from docforge.llm.language import FUNCTION_WORDS, is_cjk, of_counts
 from docforge.llm.words import words
 from docforge.llm.common import column, mapped, sampled
 from docforge.sources.tables import table
@@ -22,7 +24,7 @@ from docforge.sources.tables import table
 #: Graded documents that the ranker is fitted on, at most; pairs of them; words of the learnt vocabulary.
 SAMPLE, PAIRS, VOCABULARY = 4000, 60_000, 600
 _SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|[。！？]+")
-_TAG = re.compile(r"<[^<>]{0,200}>|&[#\w]+;")
+_TAG = re.compile(r"<[^<>]*>|&[#\w]+;")
 _MARK = re.compile(r"\b[a-z]+[A-Z]\w*|\b[A-Z]{2,}[A-Z _-]*\b|\b[TN]\d{4}\b")
 # Words that join clauses, in five languages.
 JOINERS = frozenset((
@@ -40,30 +42,36 @@ NAMES = (
 _YOU = frozenset("you your we us du ihr sie tu vous ton votre toi tú usted ustedes te tus".split())
 
 
-def describe(text: str | None) -> tuple[np.ndarray, list[str]] | None:
-    """Features of a text (NAMES) and its words; null for a text without words. Chinese counts two characters as a word."""
+def describe(text: str | None) -> tuple[np.ndarray, Counter[str]] | None:
+    """Features of a text (NAMES) and how often each of its words occurs; null for a text without words. Chinese counts two
+    characters as a word."""
     if not text:
         return None
     plain = _TAG.sub(" ", text) if "<" in text or "&" in text else text
     ws = words(plain)
     if not ws:
         return None
-    lang = language(plain, ws)
+    count = Counter(ws)
+    lang = "zh" if is_cjk(plain) else of_counts(count)
     if lang == "zh":
-        ws = [w[k : k + 2] for w in ws for k in range(0, len(w), 2)] if not plain.isascii() else ws
+        ws = [w[k : k + 2] for w in ws for k in range(0, len(w), 2)]
+        count = Counter(ws)
     n = len(ws)
-    size = np.fromiter(map(len, ws), dtype=np.int64, count=n)
-    spans = [len(x.split()) if lang != "zh" else len(x) / 2 for x in _SENTENCE.split(plain)]
+    times = np.fromiter(count.values(), dtype=np.int64, count=len(count))
+    size = np.fromiter(map(len, count), dtype=np.int64, count=len(count))
+    parts = _SENTENCE.split(plain)
+    spans = [len(x) / 2 for x in parts] if lang == "zh" else [len(x.split()) for x in parts]
     spans = [x for x in spans if x >= 1] or [n]
     s = len(spans)
-    distinct = [len(set(ws[k : k + 50])) / len(ws[k : k + 50]) for k in range(0, n, 50) if n < 50 or len(ws[k : k + 50]) == 50]
+    of = lambda known: sum(map(count.__getitem__, known & count.keys()))
+    distinct = [len(set(ws[k : k + 50])) / 50 for k in range(0, n - 49, 50)] or [len(count) / n]
     f = [
-        np.log1p(np.mean(spans)), np.log1p(max(spans)), size.mean(), (size > 6).mean(), (size > 10).mean(), sum(w in JOINERS for w in ws) / s,
-        (plain.count(",") + plain.count("，")) / s, (plain.count(";") + plain.count("；")) / s, len(_MARK.findall(plain)) / s, sum(map(str.isdigit, ws)) / n,
-        sum(w in _SHORT for w in ws) / n, float(np.mean(distinct)), (plain.count("?") + plain.count("？")) / s, (plain.count("!") + plain.count("！")) / s,
-        (plain.count("(") + plain.count("（")) / s, sum(w in _YOU for w in ws) / s, np.log1p(n), plain.count("\n") / s, *(float(lang == x) for x in LANGUAGES),
+        np.log1p(sum(spans) / s), np.log1p(max(spans)), float(size @ times) / n, float(times[size > 6].sum()) / n, float(times[size > 10].sum()) / n, of(JOINERS) / s,
+        (plain.count(",") + plain.count("，")) / s, (plain.count(";") + plain.count("；")) / s, len(_MARK.findall(plain)) / s, sum(c for w, c in count.items() if w.isdigit()) / n,
+        of(_SHORT) / n, sum(distinct) / len(distinct), (plain.count("?") + plain.count("？")) / s, (plain.count("!") + plain.count("！")) / s,
+        (plain.count("(") + plain.count("（")) / s, of(_YOU) / s, np.log1p(n), plain.count("\n") / s, *(float(lang == x) for x in LANGUAGES),
     ]
-    return np.array(f), ws
+    return np.array(f), count
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +96,11 @@ class Ranker:
     level: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str | None], levels: list[float], seed: int = 11) -> "Ranker":
-        """Logistic loss on the differences of graded pairs, by Adam; then isotonic regression of the levels."""
-        described = [(d, y) for d, y in ((describe(t), y) for t, y in zip(texts, levels)) if d is not None]
-        count: dict[str, int] = {}
-        for (_, ws), _ in described:
-            for w in set(ws):
-                if not any(ch.isdigit() for ch in w):
-                    count[w] = count.get(w, 0) + 1
-        vocabulary = {w: k for k, w in enumerate(sorted((w for w, c in count.items() if c >= 5), key=lambda w: (-count[w], w))[:VOCABULARY])}
-        x = np.stack([cls._row(d, vocabulary) for d, _ in described]) if described else np.zeros((1, len(NAMES)))
-        y = np.array([y for _, y in described]) if described else np.zeros(1)
+    def fit(cls, vocabulary: dict[str, int], rows: list[np.ndarray], levels: list[float], seed: int = 11) -> "Ranker":
+        """Logistic loss on the differences of graded pairs, by Adam; then isotonic regression of the levels. ``rows`` are
+        feature rows (``row``) of graded documents."""
+        x = np.stack(rows) if rows else np.zeros((1, len(NAMES) + len(vocabulary)))
+        y = np.array(levels) if rows else np.zeros(1)
         centre, scale = x.mean(0), x.std(0) + 1e-9
         z = (x - centre) / scale
         r = np.random.default_rng(seed)
@@ -119,17 +121,16 @@ class Ranker:
         return cls(vocabulary, centre, scale, w, at, level)
 
     @staticmethod
-    def _row(described: tuple[np.ndarray, list[str]], vocabulary: dict[str, int]) -> np.ndarray:
-        f, ws = described
+    def row(described: tuple[np.ndarray, Counter[str]], vocabulary: dict[str, int]) -> np.ndarray:
+        f, count = described
         bag = np.zeros(len(vocabulary))
-        known = [k for k in map(vocabulary.get, ws) if k is not None]
-        if known:
-            np.add.at(bag, known, 1)
-        return np.r_[f, np.sqrt(bag / len(ws))]
+        known = vocabulary.keys() & count.keys()
+        bag[list(map(vocabulary.__getitem__, known))] = list(map(count.__getitem__, known))
+        return np.r_[f, np.sqrt(bag / count.total())]
 
     def score(self, text: str | None) -> float | None:
         d = describe(text)
-        return None if d is None else float(((self._row(d, self.vocabulary) - self.centre) / self.scale) @ self.weights)
+        return None if d is None else float(((self.row(d, self.vocabulary) - self.centre) / self.scale) @ self.weights)
 
     def estimate(self, score: float | None) -> float | None:
         """The calibrated level, between the blocks' means."""
@@ -145,8 +146,28 @@ def fitted(spark: SparkSession, folder: str, held_out: bool = False) -> Ranker:
     """The ranker, fitted on at most SAMPLE graded documents, taken by hash; ``held_out`` leaves a fifth of them out."""
     labels = graded(spark, folder).where("pmod(xxhash64(doc_id, 5), 5) > 0") if held_out else graded(spark, folder)
     few = sampled(labels, "doc_id", SAMPLE, 3)
-    rows = table(spark, folder, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id").select("text", "level").collect()
-    return Ranker.fit([r.text for r in rows], [r.level for r in rows])
+
+    def told(b: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"doc_id": [], "level": [], "features": [], "words": [], "times": []}
+        for i, level, text in zip(column(b, "doc_id"), column(b, "level"), column(b, "text")):
+            if (d := describe(text)) is not None:
+                for name, value in zip(out, (i, level, d[0].tolist(), list(d[1]), list(d[1].values()))):
+                    out[name].append(value)
+        return out
+
+    sample = table(spark, folder, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = written(mapped(sample, told, "doc_id long, level double, features array<double>, words array<string>, times array<int>"), "graded")
+    usual = rows.select(F.explode("words").alias("w")).where(~F.col("w").rlike(r"\p{Nd}")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").orderBy(F.desc("n"), "w").limit(VOCABULARY)
+    vocabulary = {r.w: k for k, r in enumerate(usual.collect())}
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def featured(b: pa.RecordBatch) -> dict:
+        parts = zip(column(b, "features"), column(b, "words"), column(b, "times"))
+        return {"doc_id": b.column(0), "level": column(b, "level"), "row": [Ranker.row((np.array(f), Counter(dict(zip(w, t)))), shared.value).astype(np.float32).tobytes() for f, w, t in parts]}
+
+    # at most SAMPLE rows of a few hundred numbers come to the driver, no texts
+    got = sorted(mapped(rows, featured, "doc_id long, level double, row binary").collect(), key=lambda r: r.doc_id)
+    return Ranker.fit(vocabulary, [np.frombuffer(r.row, dtype=np.float32).astype(float) for r in got], [r.level for r in got])
 
 
 def scored(docs: DataFrame, ranker: Ranker) -> DataFrame:
