@@ -30,14 +30,27 @@ def test_pieces_rebuild_the_text(t, size, overlap):
     assert chunking.pieces(None, size) == []
 
 
-def test_cuts_lie_at_boundaries_and_edits_stay_local():
+@pytest.mark.parametrize(("size", "overlap"), [(1500, 100), (4000, 300)])
+def test_cuts_lie_at_boundaries_and_edits_stay_local(size, overlap):
     r = random.Random(1)
-    t = "\n".join(text(r, 3) for _ in range(120))
-    p = chunking.pieces(t, 1500, 100)
-    assert all(k != "forced" for *_, k in p)
-    changed = t[:20] + " inserted words here" + t[20:]
-    before, after = ({t[c:e] for _, c, e, _ in p}, {changed[c:e] for _, c, e, _ in chunking.pieces(changed, 1500, 100)})
-    assert len(before & after) >= 0.6 * len(before)
+    same = total = 0
+    for _ in range(20):
+        t = "\n".join(text(r, 3) for _ in range(200))
+        p = chunking.pieces(t, size, overlap)
+        assert all(k != "forced" for *_, k in p)
+        changed = t[:20] + " " + " ".join(["inserted words here"] * r.randint(1, 20)) + t[20:]
+        before, after = ({t[c:e] for _, c, e, _ in p}, {changed[c:e] for _, c, e, _ in chunking.pieces(changed, size, overlap)})
+        same, total = same + len(before & after), total + len(before)
+    assert same >= 0.8 * total
+
+
+def test_a_near_paragraph_end_beats_a_far_clause():
+    r = random.Random(2)
+    t = "\n\n".join([text(r, 5)] + ["5.1\tClause heading\n" + text(r, 4)] + [text(r, 4) for _ in range(40)])
+    marks = chunking._landmarks(t)
+    for _, c, e, kind in chunking.pieces(t, 4000, 300)[:-1]:
+        aim = marks[np.searchsorted(marks, c + 1000)]
+        assert abs(e - aim) <= chunking.REACH or aim > c + 3700
 
 
 # --- sketches and fingerprints ---
@@ -176,11 +189,20 @@ def test_a_hot_band_is_paired_in_blocks(spark, monkeypatch):
     ("Proposed changes:\n- add x in clause 1.2.3\n- dro", True), ("The end of it…", True), ("is set in clause 5.", True), ("see clause 5.1.2.", False), ("A ::= SEQUENCE {\n\tb INTEGER,\n\t...\n}", False),
     ("A ::= SEQUENCE {\n\tb INTEGER,", True), ("<p>One.</p><p>Two.", True), ("<p>One.</p>", False), ("Half a charact�", True), ("an entity &#8", True), ("The hub shall not be us", True), ("5.1.2\tVoid", False),
     ("*** End of changes ***", False), ("```\nx = 1\n```", False), ("```\nx = 1", True), ("| a | 1 |\n| b |", True), ("结束。", False), ("没有说明", True), ("“quoted.”", False), ("x" * 300_000, True),
+    ("He wrote “" + "word " * 200 + "end.", True), ("He wrote “a.\n\nA new paragraph is whole.", False), ('See <a href="http://x.y/' + "z" * 80 + ".", True), ("If a < b then c is set.", False), ("As in R&D", True),
+    ("(a [b {c «d “e) is closed.", False), ("R&amp", True),
 ])
 def test_ending(t, cut):
     assert (cutoff.ending(t) is not None) == cut
 
 
+def test_a_source_of_few_values_has_a_baseline(tables, spark):
+    bare = "The hub keeps the key while the timer is running"
+    rows = [{"cr_id": k, "source": "Few", "response_text": bare} for k in range(19)] + [{"cr_id": 100 + k, "source": "Many", "response_text": bare + "." if k else bare} for k in range(60)]
+    got = {r.cr_id for r in queries.QUERIES["p4_found"](spark, tables.write(change_requests=rows)).collect()}
+    assert got == {100}
+
+
 # --- pairs ---
 
 
@@ -210,8 +232,8 @@ def test_token_counts():
     assert tokens.token_count(None) == tokens.token_count("") == 0
     t = "The relay hub shall délivrer 邻区列表 <|endoftext|> " * 50
     assert tokens.encoding(tokens.VOCABULARY).decode(tokens.token_ids(t)) == t
-    long = "word " * 250_000
-    assert abs(tokens.token_count(long) - 250_000) < 20
+    assert tokens.token_count("word " * 250_000) == 250_001
+    assert tokens.token_count("abcde1" * 200_000) == 800_000
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -229,6 +251,23 @@ def test_patterns_place_every_length_once(seed):
     assert packing.pack({}, 10) == []
 
 
+def test_the_shortest_pack_is_filled_first():
+    assert sorted(p for _, p in packing.pack({60: 1, 50: 1, 30: 1}, 100)) == [((50, 1), (30, 1)), ((60, 1),)]
+    r = random.Random(3)
+    for _ in range(30):
+        capacity, sizes = 100, sorted((r.randint(1, 100) for _ in range(r.randint(1, 80))), reverse=True)
+        rooms: list[int] = []  # the algorithm item by item
+        for x in sizes:
+            k = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if k is None or rooms[k] < x:
+                rooms.append(capacity - x)
+            else:
+                rooms[k] -= x
+        patterns = packing.pack({x: sizes.count(x) for x in sizes}, capacity)
+        got = sorted(capacity - sum(x * k for x, k in p) for n, p in patterns for _ in range(n))
+        assert got == sorted(rooms)
+
+
 def test_assignment_is_whole(spark):
     r = random.Random(9)
     sizes = [(k, r.choice((0, 3, 3, 3, r.randint(1, 250)))) for k in range(500)]
@@ -257,6 +296,12 @@ def test_hits_map_to_the_stored_text():
     assert stored[got[7][1] : got[7][2]] == dirty.rstrip(".")
     assert leaks.hits(" ".join(item.split()[:8]), items) == {} and leaks.hits(None, items) == {} and leaks.hits("", items) == {}
     assert leaks.hits(item, leaks.Items([])) == {}
+    for tag in ('<span style="' + "x" * 600 + '">', "<!-- " + "- > <b> " * 300 + "-->"):
+        assert leaks.hits(item.replace("spot the", f"spot {tag} the"), items)[7][0] == got[7][0]
+    assert leaks.hits("<!-- a --> " + item + " <!--" * 20_000, items)[7][0] == got[7][0]
+    longest = "a" * 300 + "b" * 300
+    words_of = leaks.Items([(1, " ".join(["x"] * 12) + " " + longest)])
+    assert leaks.hits("x " * 12 + longest[:300] + "-\n" + longest[300:], words_of)[1][0] == 1
 
 
 # --- reading level ---
