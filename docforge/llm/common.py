@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.functions.work import written
+from docforge.functions.work import shared_folder, written
 from docforge.sources.tables import table
 
 
@@ -60,6 +61,25 @@ def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+def kept(rows: DataFrame, name: str, settings: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A small table that was made of the files of ``rows`` with these settings: read from the shared folder if it is there,
+    else made and written. The files' names, sizes and times are part of its name."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def told(file: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(file)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        return f"{file}|{status.getLen()}|{status.getModificationTime()}"
+
+    key = xxhash.xxh3_128_hexdigest("\n".join([str(settings), *sorted(map(told, rows.inputFiles()))]).encode())
+    path = f"{shared_folder(spark)}/docforge-{name}-{key}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        make().coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def groups(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """(node, group): connected components of ``pairs`` over ``nodes``, each named by its least node.
 

@@ -1,9 +1,9 @@
 """Problem 2: defective question and answer pairs, by a conditional random field over the clauses of each answer.
 
-Each clause is tagged as answer, refusal, echo, foreign or unfinished; the share of the answer's words under each tag
-decides on the pair's defect. The field is trained here, on a bounded sample of the table's own pairs whose defects are
-made (MADE): clauses of the answers, the reasons copied and altered, clauses of other languages, answers cut at random,
-and refusals from a list of examples. Everything else covers all rows.
+Each clause is tagged as answer, refusal, echo, foreign, unfinished or nothing (a stand-in); the share of the answer's words
+under each tag decides on the pair's defect. The field is trained here, on a bounded sample of the table's own pairs whose
+defects are made: clauses of the answers, the reasons copied and altered, clauses of other languages, answers cut at random,
+and refusals, their look-alikes and stand-ins put together by a small grammar (``phrases``). Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -19,61 +19,25 @@ from pyspark.sql import functions as F
 
 from docforge.llm.language import _OF, is_cjk, language
 from docforge.llm.words import words
-from docforge.llm.common import column, mapped, sampled
+from docforge.llm.common import column, kept, mapped, sampled
 from docforge.llm.cutoff import ending
-from docforge.llm.standins import says_nothing
+from docforge.llm.phrases import ABSENT, CUES, HAN_CUES, lookalike, refusal, stand_in
 from docforge.sources.tables import table
 
-TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
+TAGS = ("answer", "refusal", "echo", "foreign", "unfinished", "nothing")
 #: Pairs of the table that the training sample is made of, at most.
-SAMPLE = 500
+SAMPLE = 800
 # What a cut leaves at the end of a made answer: mostly nothing, else an ellipsis or half of something.
 CUT_MARKS = ("", "", "", "", "", "", "…", "...", " [", "&#8", "\\u00", "\ufffd")
 #: Clauses of a training sequence, at most (answers of any length are tagged).
 LONGEST = 14
 
-# Words that mark the parts of a refusal, in five languages.
-CUES = {
-    "self": "i i'm i'd i'll i've i’m i’d i’ll my me ich mir mich je j me moi mon prefiero puedo siento yo mi assistant model ai automated 我",
-    "sorry": "sorry apologies apologise apologize afraid unfortunately regrettably sadly regret leid leider bedauere désolé désolée regrette malheureusement regret siento lamento disculpe desgraciadamente lamentablemente 抱歉 遗憾 对不起",
-    "unable": "can't cannot can’t couldn't won't won’t unable impossible not isn't isn’t don't don’t no nicht kein keine ne pas impossible no 无法 不能 不会",
-    "decline": "decline declining refuse rather pass stop unanswered inappropriate limits against rules policy guidelines allow allowed permitted prevents permis autorisé permitido politique política richtlinien ablehnen weigere préfère prefiero falls outside off 不便 超出 拒绝",
-    "help": "help assist comply answer respond guess speculate produce provide judging discussing continue topic request questions weaknesses abused beantworten helfen répondre prononcer rédiger responder analizar contestar ayudar analyse 回答 提供 帮助 评论",
-    "refer": "consult expert engineer professional human specialist group anything else fachkraft fachmann spécialiste adressez consulte especialista experto 专家 咨询 人士",
-}
-_CUE: dict[str, int] = {}
-for _k, _ws in enumerate(CUES.values()):
-    for _w in _ws.split():
-        _CUE[_w] = _CUE.get(_w, 0) | (1 << _k)
-_HAN_CUES = [(w, bit) for w, bit in _CUE.items() if "㐀" <= w[0] <= "鿿"]
-
-# Examples of refusals from which the field learns; {x} stands for what was asked about.
-REFUSALS = (
-    "I'm sorry, but I can't help with that.", "I cannot help with drafting this change.", "I am afraid I won't be able to produce a change request for that.",
-    "Unfortunately, I must decline to analyse protocol weaknesses.", "Regrettably it isn't possible for me to assess the clause.",
-    "Apologies: the request falls outside what I may assist with.", "Providing such an analysis is not something I do.", "This is something I am not able to answer.",
-    "Thank you for the request, however I can't answer it.", "My guidelines don't allow it.", "Please consult a qualified engineer.", "Is there anything else I can do for you?",
-    "You may wish to ask the working group instead.", "I decline.", "Cannot comply.", "No answer can be given to this request.", "Sadly the assistant has to pass on this one.",
-    "As a language assistant I have no access to the specification and will not guess.", "I'd rather not speculate about {x}, so I will leave this unanswered.",
-    "It would be inappropriate for me to comment on {x}; no summary will be provided.", "Discussing how {x} might be abused is against my rules.", "Let me stop here.",
-    "This conversation cannot continue with the topic of {x}.", "Questions about weaknesses of {x} are off limits here.", "I don't have enough knowledge of {x} to respond, so please take this to an expert.",
-    "My policy prevents me from judging how {x} products fail.", "You would need a human expert for {x}; an automated reply is not offered.",
-    "Declining: the topic could be used to attack a live network, so no report will be written.",
-    "Es tut mir leid, aber dabei kann ich nicht helfen.", "Diese Anfrage kann ich nicht beantworten, bitte wenden Sie sich an eine Fachkraft.", "Leider darf ich {x} nicht beurteilen.", "Dazu möchte ich mich nicht äußern.",
-    "Je suis désolé, mais je ne peux pas répondre à cette demande.", "Je préfère ne pas me prononcer ; adressez-vous à un spécialiste.", "Il m’est impossible de rédiger une analyse de {x}.",
-    "Lo siento, pero no puedo ayudar con esta petición.", "Prefiero no responder; consulte a un especialista.", "No me está permitido analizar {x}.",
-    "抱歉，我无法回答这个问题。", "很遗憾，我不能提供关于{x}的分析。", "这超出了我的能力范围，请咨询专家。",
-)
-#: Sentences of proper answers that look like refusals, learnt as answers.
-NO_REFUSALS = (
-    "The {x} cannot comply with the request and is unable to keep the context; it shall therefore refuse it.", "The hub declines the message when the key is stale, which is the behaviour that must be kept.",
-    "Sorry for the late reply to the group: the change is limited to {x}.", "I cannot see any other clause than 9.7.6 that needs the new identity.", "The access controller cannot comply with {x} and is unable to keep the context; it shall therefore refuse the request in RX_WARM.", "It needs no further action.",
-    "The request is not answered and no help can be given by the {x}.", "I am not able to accept the wording of {x}, so it is replaced by a reference.",
-)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*\s+(?=\S)|(?<=[。！？])[\"”»]*(?=\S)|\n+")
 _QUOTED = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“]*“|\"[^\"\n]{20,}\"")
+_MARKUP = re.compile(r"<[^<>]*>|&[#\w]+;")
 _LEAD = re.compile(r"^(?:>+\s*|[QF]:\s*|[-*•]\s+|\d+[.)]\s+|\*\*[^*\n]{1,60}\*\*:?\s*|[A-Z][A-Z ]{4,40}:\s*)+")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
+_ENDED = re.compile(r"[.!?。！？]\W*\Z")
 _MARK = re.compile(r"(?<![^\W_])[a-zäöüéè]+[A-Z]\w*|\b[A-Z]{2,}(?:[ _-][A-Z]+)*\b|\d+(?:\.\d+)*|\b[A-Z]\d+")
 
 
@@ -106,7 +70,7 @@ def _count(ws: list[str]) -> dict[str, int]:
     return n
 
 
-N_FEATURES = 44
+N_FEATURES = 56
 
 
 def features(clause: str, reason: Reason, last: bool, why: str | None, alone: bool) -> tuple[list[int], int]:
@@ -120,7 +84,9 @@ def features(clause: str, reason: Reason, last: bool, why: str | None, alone: bo
     if last and why:
         f.append(3)
         f.append(4 if why in ("bare", "item", "stop") else 5)
+        f.append(44 if size <= 2 else 45)
     # echo of the reason
+    share = known = 0.0
     if reason.known and size:
         pairs = list(zip(ws, ws[1:]))
         share = sum(p in reason.pairs for p in pairs) / len(pairs) if pairs else float(ws[0] in reason.words)
@@ -158,26 +124,42 @@ def features(clause: str, reason: Reason, last: bool, why: str | None, alone: bo
     # refusal
     bits = first = 0
     for k, w in enumerate(rest.lower().replace("’", "'").split()):
-        b = _CUE.get(w.strip(".,;:!?()\"'"), 0)
+        w = w.strip(".,;:!?()\"'")
+        b = CUES.get(w, 0)
+        if not b and "'" in w:
+            for part in w.split("'"):
+                b |= CUES.get(part, 0)
         bits |= b
         if k < 4:
             first |= b
     if han:
-        for w, b in _HAN_CUES:
+        for w, b in HAN_CUES:
             if w in rest:
                 bits |= b
     for k in range(6):
         if bits >> k & 1:
             f.append(24 + k)
-    n = bits.bit_count()
+    n = (bits & 63).bit_count()
     f.append(30 + min(n, 4))
     if first & 1:
         f.append(35)
     f.append(36 + (size >= 4) + (size >= 9))
     if alone:
         f.append(39)
-    own, sorry, unable, decline, helps, refer = (bits >> k & 1 for k in range(6))
+    own, sorry, unable, decline, helps, refer, views = (bits >> k & 1 for k in range(7))
     f += [x for x, on in ((40, own and unable), (41, unable and (helps or refer)), (42, decline and (own or helps or unable)), (43, sorry and (unable or decline or helps))) if on]
+    if views:
+        f.append(54 + own)
+    # nothing said: a few words that speak of absence, and no end of a sentence
+    absent = sum(w in ABSENT for w in ws)
+    if size:
+        f.append(46 + (absent > 0) + (absent == size))
+    if alone and size <= 4:
+        f.append(49)
+        if absent == size:
+            f.append(50 + bool(_ENDED.search(clause)))
+    if reason.known and last and why and share >= 0.6:
+        f.append(52 + (known >= 0.7))
     return f, size
 
 
@@ -214,7 +196,8 @@ class Field:
         for i, s in enumerate(tags):
             y[i, : len(s)] = s
         one = np.eye(n)[y] * mask[..., None]
-        seen_emit = np.einsum("stf,stk->fk", x, one)
+        rows = x[mask]  # the clauses that there are; the padding has no features
+        seen_emit = rows.T @ one[mask].astype(np.float32)
         seen_move = np.zeros_like(self.move)
         np.add.at(seen_move, (np.full(size, n), y[:, 0]), 1)
         for t in range(1, length):
@@ -222,7 +205,8 @@ class Field:
         moment = [np.zeros_like(self.emit), np.zeros_like(self.move)]
         square = [np.zeros_like(self.emit), np.zeros_like(self.move)]
         for step in range(1, steps + 1):
-            score = x @ self.emit
+            score = np.zeros((size, length, n))
+            score[mask] = rows @ self.emit.astype(np.float32)
             alpha = np.zeros((size, length, n))
             alpha[:, 0] = self.move[n] + score[:, 0]
             for t in range(1, length):
@@ -232,7 +216,7 @@ class Field:
             for t in range(length - 2, -1, -1):
                 beta[:, t] = np.where(mask[:, t + 1, None], _logsumexp(self.move[:n] + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
             p = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
-            want_emit = np.einsum("stf,stk->fk", x, p)
+            want_emit = rows.T @ p[mask].astype(np.float32)
             want_move = np.zeros_like(self.move)
             want_move[n] = p[:, 0].sum(0)
             for t in range(1, length):
@@ -280,28 +264,34 @@ def sequence(answer: str, reason: Reason) -> tuple[list[list[int]], list[int]]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def verdict(tags: list[int], sizes: list[int], known_reason: bool, cut: bool = False) -> str | None:
-    """The defect of a pair by the share of the answer's tokens under each tag. ``cut``: the automaton of problem 4 finds
-    the answer unfinished, which settles pairs whose last clause is a mere stump that looks like an echo."""
+def visible(text: str | None) -> bool:
+    """Whether a text holds a letter or digit outside of markup."""
+    return text is not None and any(c.isalnum() for c in _MARKUP.sub(" ", text))
+
+
+def verdict(tags: list[int], sizes: list[int], known_reason: bool) -> str | None:
+    """The defect of a pair by the share of the answer's tokens under each tag, and by the tag of its last clause."""
     share = np.zeros(len(TAGS))
     for t, s in zip(tags, sizes):
         share[t] += max(1, s)
     share /= share.sum()
+    if share[5] > 0.5:
+        return "empty"
     if share[1] >= 0.4:
         return "refusal"
     if known_reason and share[3] > 0.5:
         return "wrong_language"
-    if cut or tags[-1] == 4:
+    if tags[-1] == 4:
         return "truncated"
     return "copied_question" if known_reason and share[2] >= 0.9 else None
 
 
-def _altered(text: str, r: random.Random) -> str:
+def _altered(text: str, r: random.Random, kind: int | None = None) -> str:
     ws = text.split(" ")
     rate = r.choice((0, 0, 0.05, 0.1, 0.15))
     ws = [r.choice(("the", "any", "each", "that", "this", "also")) if r.random() < rate else w for w in ws if r.random() > rate / 4]
     text = " ".join(ws)
-    kind = r.randrange(6)
+    kind = r.randrange(6) if kind is None else kind
     if kind == 0:
         text = text.upper()
     elif kind == 1:
@@ -315,16 +305,21 @@ def _altered(text: str, r: random.Random) -> str:
     return text
 
 
+# Fragments of code behind an answer, and what may stand before a quoted sentence of another language.
+_CODE = ("\n```\nlimit = {}\n```", "\n```\nTokenAge ::= INTEGER (0..{})\n```", "\n{{ \"age\": {} }}")
+_QUOTING = ("They wrote:", "In the partner's own words:", "The remark was", "As noted at the meeting:", "")
+
+
 def made(rows: list[tuple[str | None, str | None]], seed: int = 7) -> tuple[list, list]:
     """Sequences and tags made of pairs (reason, answer): proper answers (with the reason quoted before some), refusals,
-    copied reasons, answers of another language (or with one such sentence), and answers cut at random."""
+    copied reasons, answers of another language (or with one such sentence), answers cut at random, and stand-ins."""
     r = random.Random(seed)
     good = []
     for q, a in rows:
-        if q and not says_nothing(a) and a and not ending(a):
+        if q and visible(a) and a and not ending(a):
             reason = Reason(q)
             cs = clauses(a)
-            if not cs or any(f in x for x, _ in (features(c, reason, False, None, False) for c in cs) for f in (18, 20, 33, 34)):
+            if not cs or any(f in x for x, _ in (features(c, reason, False, None, False) for c in cs) for f in (18, 20, 33, 34, 48)):
                 continue
             good.append((q, a, reason, cs))
     by_language: dict[str | None, list] = {}
@@ -347,27 +342,31 @@ def made(rows: list[tuple[str | None, str | None]], seed: int = 7) -> tuple[list
         if r.random() < 0.3:
             n_quoted = len(clauses(q))
             add(r.choice(("> ", "", "“")) + q + "\n" + a, reason, lambda k, c, cs, n=n_quoted: 2 if k < n else 0)
-        for most in (1, 3):
-            parts = [r.choice(REFUSALS).format(x=thing) for _ in range(r.randint(1, most))]
-            if r.random() < 0.3:
-                parts.insert(0, f"You ask about {thing} at the hub.")
-            add(" ".join(parts), reason if r.random() < 0.8 else Reason(None), lambda *_: 1)
-        for rest in (a, cs[0]):
-            if r.random() < 0.45:
-                look = r.choice(NO_REFUSALS).format(x=thing)
-                add(f"{look} {rest}", reason, lambda *_: 0)
+        if r.random() < 0.2:
+            add(a + r.choice(_CODE).format(r.randrange(99)), reason, lambda *_: 0)
+        for most in (1, 1, 3):
+            add(" ".join(refusal(r, thing) for _ in range(r.randint(1, most))), reason if r.random() < 0.8 else Reason(None), lambda *_: 1)
+        for rest in (a, cs[0], ""):
+            if r.random() < 0.35:
+                add(f"{lookalike(r, thing)} {rest}", reason, lambda *_: 0)
         if r.random() < 0.5:
             add(_altered(q, r), reason, lambda *_: 2)
+        if r.random() < 0.3:
+            add(stand_in(r), reason if r.random() < 0.8 else Reason(None), lambda *_: 5)
         others = [lang for lang in by_language if lang and reason.language and lang != reason.language]
         if others and r.random() < 0.6:
             other = r.choice(by_language[r.choice(others)])
             if r.random() < 0.7:
-                add(other[1], reason, lambda *_: 3)
+                add(other[1] + (r.choice(_CODE).format(r.randrange(99)) if r.random() < 0.3 else ""), reason, lambda *_: 3)
             else:
-                add(f"{a} The original remark read: “{other[3][0]}” It needs no further action.", reason, lambda *_: 0)
+                add(f"{a} {r.choice(_QUOTING)} “{other[3][0]}” {r.choice(by_language[reason.language])[3][0] if r.random() < 0.5 else ''}", reason, lambda *_: 0)
         if r.random() < 0.3:
             add(cs[0], reason, lambda *_: 0)
-        for whole, chance in ((a, 0.5), (cs[0], 0.4)):
+        if r.random() < 0.4 and len(q) > 40:  # cut inside a sentence that is much like the reason
+            piece = (r.choice((a, cs[0])) + " " + _altered(q, r, 6))[: -r.randrange(3, len(q) * 2 // 3)].rstrip() + r.choice(CUT_MARKS)
+            if ending(piece) and len(clauses(piece)) > 1:
+                add(piece, reason, lambda k, c, cs: 4 if k == len(cs) - 1 else 0)
+        for whole, chance in ((a, 0.6), (cs[0], 0.5)):
             if len(whole) > 40 and r.random() < chance:
                 piece = whole[: r.randrange(len(whole) // 2, len(whole) - 3)].rstrip() + r.choice(CUT_MARKS)
                 if ending(piece):
@@ -380,29 +379,42 @@ FIELDS = ("response_text", "gold_response")
 
 
 def trained(spark: SparkSession, folder: str) -> Field:
-    """The field, trained on at most SAMPLE pairs taken by hash over all rows; without usable pairs, on examples only."""
-    c = table(spark, folder, "change_requests").where("reason_for_change is not null and gold_response is not null").select("cr_id", "reason_for_change", "gold_response")
-    rows = [(x.reason_for_change, x.gold_response) for x in sampled(c, "cr_id", SAMPLE, 2).collect()]
-    seqs, tags = made(rows + _EXAMPLES)
-    return Field().fit(seqs, tags)
+    """The field, trained on at most SAMPLE pairs taken by hash over all rows; without usable pairs, on examples only. The
+    weights are kept as a table in the shared folder and read by the next query on the same files."""
+    rows = table(spark, folder, "change_requests")
 
+    def fit() -> DataFrame:
+        c = rows.where("reason_for_change is not null and gold_response is not null").select("cr_id", "reason_for_change", "gold_response")
+        pairs = [(x.reason_for_change, x.gold_response) for x in sampled(c, "cr_id", SAMPLE, 2).collect()]
+        field = Field().fit(*made(pairs + _EXAMPLES))
+        return spark.createDataFrame([(field.emit.tolist(), field.move.tolist())], "emit array<array<double>>, move array<array<double>>")
 
+    row = kept(rows, "crf", (SAMPLE, N_FEATURES, LONGEST), fit).first()
+    return Field(np.array(row.emit), np.array(row.move))
+
+
+# Pairs from which the field learns if the table has none.
 _EXAMPLES = [
-    ("Clause 5.1 does not say what the hub does with a stale key.", "A note is added on the handling of a stale key by the hub. Operators cannot rely on the context."),
-    ("In Abschnitt 8.7.1 ist nicht beschrieben, wie die Vermittlung mit einer veralteten Sitzung umgeht.", "Die Bedeutung von coreMap wird klargestellt, und die Vermittlung meldet die Sitzung an die Gegenstelle."),
-    ("Le paragraphe 6.2.7 ne précise pas comment la passerelle traite une table périmée.", "La plage de coreMap passe de 38 à 6 afin que la somme de contrôle ne soit plus saturée."),
+    ("Section 4 leaves open how long the cache holds a token after the reset.", "The cache holds a token for ten seconds after a reset. A note on testKey is added to section 4."),
+    ("Es fehlt eine Regel, wie lange der Puffer nach dem Neustart eine Kennung hält.", "Der Puffer hält die Kennung zehn Sekunden, und eine Anmerkung zu testKey wird ergänzt."),
+    ("Il manque une règle sur la durée pendant laquelle le tampon garde un jeton.", "Le tampon garde un jeton dix secondes, et une note sur testKey est ajoutée."),
 ]
 
 
 def _tag_batch(field: Field, b: pa.RecordBatch) -> dict:
     out: dict[str, list] = {"cr_id": [], "answer_field": [], "defect": []}
-    rows, seqs, sizes, known, cuts = [], [], [], [], []
+
+    def add(i: int, name: str, defect: str | None) -> None:
+        if defect:
+            for key, value in zip(out, (i, name, defect)):
+                out[key].append(value)
+
+    rows, seqs, sizes, known = [], [], [], []
     for i, q, *answers in zip(*(column(b, x) for x in ("cr_id", "reason_for_change", *FIELDS))):
         reason = None
         for name, a in zip(FIELDS, answers):
-            if says_nothing(a):
-                for key, value in (("cr_id", i), ("answer_field", name), ("defect", "empty")):
-                    out[key].append(value)
+            if not visible(a):
+                add(i, name, "empty")
                 continue
             reason = reason or Reason(q)
             s, n = sequence(a, reason)
@@ -411,12 +423,8 @@ def _tag_batch(field: Field, b: pa.RecordBatch) -> dict:
                 seqs.append(s)
                 sizes.append(n)
                 known.append(reason.known)
-                cuts.append(bool(ending(a)))
-    for (i, name), tags, n, k, cut in zip(rows, field.tag(seqs), sizes, known, cuts):
-        d = verdict(tags, n, k, cut)
-        if d:
-            for key, value in (("cr_id", i), ("answer_field", name), ("defect", d)):
-                out[key].append(value)
+    for (i, name), tags, n, k in zip(rows, field.tag(seqs), sizes, known):
+        add(i, name, verdict(tags, n, k))
     return out
 
 

@@ -223,6 +223,27 @@ def test_verdicts_on_examples():
     assert judge("Nach Ablauf von T5301 muss die Vermittlung die Liste löschen. Die Bedeutung von coreMap wird klargestellt.") == "wrong_language"
     assert judge("A note is added on the outdated tag. The default of coreMap becomes 7 whenev") == "truncated"
     assert judge("Nach Ablauf von T5301 muss die Vermittlung die Liste löschen.", None) is None
+    assert judge("n/a") == judge("No response") == judge("[empty]") == "empty" and judge("Agreed.") is None
+
+
+def test_no_phrase_is_from_the_tables():
+    """The sentences that the field learns from are made here; none of them, nor any longer part, stands in the tables."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    from docforge.llm import phrases
+
+    t = pq.read_table(DATA / "sf0.1" / "change_requests.parquet", columns=["response_text", "gold_response", "reason_for_change"])
+    plain = lambda x: " ".join(words(x))
+    every = "\n".join(plain(v) for c in t.columns for v in c.to_pylist() if v)
+    r = random.Random(4)
+    # any sentence put together that has five words, and any part of the grammar that has
+    lines = {plain(f(r, "qqzz")) for f in (phrases.refusal, phrases.lookalike) for _ in range(4000)}
+    parts = {plain(x) for group in (*phrases._PARTS.values(), phrases._LOOK) for v in group.values() for alternative in v.split("|") for x in re.split(r"\{\w+\}", alternative)}
+    parts |= {plain(x) for pair in qapairs._EXAMPLES for x in pair} | {plain(x) for x in qapairs._QUOTING}
+    found = [x for x in lines | parts if len(x.split()) >= 5 and x in every]
+    assert found == []
 
 
 # --- tokens and packing ---
