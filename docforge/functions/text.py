@@ -82,17 +82,25 @@ def normalised_date(c: C, start: str, end: str) -> Column:
     return F.when(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.date_format(d, "yyyy-MM-dd"))
 
 
-#: Phrases and their scores, in the order in which they are looked for.
+# Phrases and their scores, in the order in which they are looked for.
 SCORE_PHRASES = (("strongly agree", 2), ("strongly disagree", -2), ("disagree", -1), ("agree", 1), ("neutral", 0))
 
 
-def score_of(c: C) -> Column:
-    """The judge's score (P-4): the whole answer if it is -2 .. 2, else the last ``s: n`` or ``s= n``, else a phrase."""
+def score_of(c: C, prompt: C | None = None) -> Column:
+    """The judge's score (P-4): the whole answer if it is -2 .. 2, else the last ``s: n`` or ``s= n`` (with exactly one
+    space), else a phrase, else the number behind the template that the scoring prompt has in double quotes, less its last
+    two characters. Null if there is none, or the prompt has no quotes."""
     v = col(c)
-    whole = F.when(F.trim(v).isin("-2", "-1", "0", "1", "2"), F.trim(v).cast("int"))
-    named = F.try_element_at(F.regexp_extract_all(v, F.lit(r"s[:=]\s?(-?\d+)"), F.lit(1)), F.lit(-1)).try_cast("int")
+    whole = F.when(v.isin("-2", "-1", "0", "1", "2"), v.cast("int"))
+    # Fixed value: the pattern of a named score
+    named = F.try_element_at(F.regexp_extract_all(v, F.lit(r"s[:=] (-?\d+)"), F.lit(1)), F.lit(-1)).try_cast("int")
     phrase = reduce(lambda acc, p: acc.when(F.lower(v).contains(p[0]), F.lit(p[1])), SCORE_PHRASES[1:], F.when(F.lower(v).contains(SCORE_PHRASES[0][0]), F.lit(SCORE_PHRASES[0][1])))
-    return F.coalesce(whole, named, phrase)
+    if prompt is None:
+        return F.coalesce(whole, named, phrase)
+    quoted = F.try_element_at(F.split(col(prompt), '"'), F.lit(2))
+    template = F.substring(quoted, F.lit(1), F.greatest(F.length(quoted) - 2, F.lit(0)))
+    behind = F.call_function("regexp_extract", v, F.concat(F.lit("\\Q"), template, F.lit("\\E\\D*(\\d+)")), F.lit(1)).try_cast("int")
+    return F.coalesce(whole, named, phrase, behind)
 
 
 def verdict(c: C, pattern: str = r"YES|Invalid QUERY|Invalid RESPONSE", last: bool = False) -> Column:
@@ -173,9 +181,13 @@ def hashed_choice(key: C, seed: int, n: int | Column) -> Column:
     return F.pmod(digits, n if isinstance(n, Column) else F.lit(n))
 
 
+# What ``>>>`` may become.
+CHEVRONS = (">>>", ">>>", ">>>", ">>>", "-->", ">>", ">>|", "***", "###", "===")
+
+
 def chevrons(c: C, key: C, seed: int = 0) -> Column:
-    """``>>>`` replaced by one of ten marks, four of which leave it as it is (P-20)."""
-    marks = F.array(*(F.lit(x) for x in (">>>", ">>>", ">>>", ">>>", ">>", "->", "=>", ":", "|", "*")))
+    """All ``>>>`` of a text replaced by one of ten marks, four of which leave them as they are (P-20)."""
+    marks = F.array(*(F.lit(x) for x in CHEVRONS))
     return F.replace(col(c), F.lit(">>>"), F.element_at(marks, (hashed_choice(key, seed, 10) + 1).cast("int")))
 
 

@@ -12,9 +12,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (as in tests, on one machine), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a folder of our own is set, but only if all of Spark runs on
+    this machine; on a cluster that is an error, as the executors would not see it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from docforge.functions import text as T
 
@@ -107,29 +108,40 @@ def between_marks(n: DataFrame, start: str, stop: str, key: str = "doc_id") -> D
     return n.withColumn("_on", seen(start)).withColumn("_off", seen(stop)).where("_on = 1 and _off = 0").drop("_on", "_off")
 
 
-def heading_paths(n: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
-    """(key, pos, path): each heading with those of the levels above it (J-8). A level is the number of a heading's parts;
-    the last heading of each level above is carried forward, so there is no recursion."""
+@pandas_udf(ArrayType(StringType()))
+def _paths(levels: pd.Series, texts: pd.Series) -> pd.Series:
+    out = []
+    for ls, ts in zip(levels, texts):
+        stack: list[tuple[int, str]] = []
+        paths = []
+        for level, text in zip(ls, ts):
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, text))
+            paths.append(" > ".join(t for _, t in stack))
+        out.append(paths)
+    return pd.Series(out)
+
+
+def heading_paths(n: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, path): each heading with those of the levels above it, at any depth (J-8). A level is the number of parts
+    of a heading's number. A document's headings, in order, go through a stack."""
     heads = n.where("style = 'Heading'").withColumn("level", F.size(F.split(F.regexp_extract("text", r"^(\d+(?:\.\d+)+)", 1), r"\.")))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    above = [F.last(F.when(F.col("level") == d, F.struct("pos", "text")), ignorenulls=True).over(before).alias(f"_{d}") for d in range(2, depth)]
-    rows = heads.select(key, "pos", "text", "level", *above)
-    # one of level d counts only if none of a lower level came after it
-    parts = []
-    for d in range(2, depth):
-        lower = [F.coalesce(F.col(f"_{e}.pos"), F.lit(-1)) for e in range(2, d)]
-        newest = F.greatest(F.lit(-1), *lower) if lower else F.lit(-1)
-        parts.append(F.when((F.col("level") > d) & (F.col(f"_{d}.pos") > newest), F.col(f"_{d}.text")))
-    return rows.select(key, "pos", F.concat_ws(" > ", *parts, "text").alias("path"))
-
-
-def table_markdown(rows: Column) -> Column:
-    """An array of rows of cells as a markdown table; rows of uneven sizes become plain lines (X-9)."""
-    even = F.size(F.array_distinct(F.transform(rows, lambda r: F.size(r)))) == 1
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(rows[0], lambda _: F.lit(":-:")), "|"), F.lit("|"))
-    body = F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line))
-    return F.when(F.size(rows) > 0, F.when(even, F.array_join(body, "\n")).otherwise(F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n")))
+    heads = heads.withColumn("level", F.when(F.col("level") < 1, 1).otherwise(F.col("level")))
+    per = heads.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "level", "text"))).alias("h"))
+    return per.select(key, F.explode(F.arrays_zip(F.col("h.pos").alias("pos"), _paths(F.col("h.level"), F.col("h.text")).alias("path"))).alias("x")).select(key, "x.pos", "x.path")
+
+
+def table_markdown(rows: Column, limit: int | None = None) -> Column:
+    """An array of rows of cells as a markdown table, line ends in cells as spaces; rows of uneven sizes become plain lines
+    (X-9). ``limit``: rows taken at most (O-9), where a consumer wants tables short."""
+    taken = rows if limit is None else F.slice(rows, 1, limit)
+    even = F.size(F.array_distinct(F.transform(taken, lambda r: F.size(r)))) == 1
+    line = lambda r: F.concat(F.lit("|"), F.array_join(F.transform(r, lambda c: F.concat(F.translate(F.coalesce(c, F.lit("")), "\n", " "), F.lit("|"))), ""))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(":-:|"), F.size(taken[0])))
+    body = F.concat(F.array(line(taken[0]), rule), F.transform(F.slice(taken, F.lit(2), F.greatest(F.size(taken) - 1, F.lit(0))), line))
+    plain = F.array_join(F.transform(taken, lambda r: F.array_join(r, " | ")), "\n")
+    return F.when(F.size(taken) > 0, F.when(even, F.array_join(body, "\n")).otherwise(plain))
 
 
 def split_in_two(c: Column, key: Column, seed: int = 0) -> tuple[Column, Column]:

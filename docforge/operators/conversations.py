@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from docforge.functions import text as T
 
 ROLES = ("system", "user", "assistant", "function")
-#: Keyword sets of the structure check; a conversation must have all words of one of them.
-STRUCTURES = (("REASON FOR CHANGE", "SUMMARY OF CHANGE"), ("Clause", "clause"), ("shall", "may"), ("Proposed changes",))
+# Keyword sets of the structure check; a text must have all words of one of them.
+STRUCTURES = (
+    (">>> Original Specification Statements:", ">>> REASON FOR CHANGE", ">>> SUMMARY OF CHANGE", ">>> CONSEQUENCES IF NOT REVISED"),
+    (">>> Change Request:", "- **Reason for change**:", "- **Consequences if not revised**:", ">>> Original Specification Statement:", ">>> SUMMARY OF CHANGES"),
+    (">>> Diffed Specification Statements:", ">>> SUMMARY OF CHANGE", ">>> REASON FOR CHANGE", ">>> CONSEQUENCES IF NOT REVISED"),
+    (">>> Marked Specification Statements:", ">>> REASON FOR CHANGE", ">>> SUMMARY OF CHANGE", ">>> CONSEQUENCES IF NOT REVISED"),
+)
 
 
 def messages(long: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -44,7 +49,7 @@ def billing(per: DataFrame, limit: int = 16385, target_epochs: int = 3, least: i
     """Billed tokens (each conversation up to the limit), conversations over it, and the number of epochs, which is set so
     that the examples seen lie between ``least`` and ``most``, within 1 .. 25 (A-7)."""
     agg = per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("n_tokens", F.lit(limit))).alias("billed_tokens"), F.count_if(F.col("n_tokens") > limit).alias("n_over"))
-    epochs = F.when(F.col("n") * target_epochs < least, F.least(F.lit(25), F.ceil(F.lit(least) / F.col("n")))).when(F.col("n") * target_epochs > most, F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("n")))).otherwise(F.lit(target_epochs))
+    epochs = F.when(F.col("n") * target_epochs < least, F.least(F.lit(25), F.floor(F.lit(least) / F.col("n")))).when(F.col("n") * target_epochs > most, F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("n")))).otherwise(F.lit(target_epochs))
     return agg.withColumn("epochs", epochs.cast("long")).withColumn("epoch_tokens", F.col("billed_tokens") * F.col("epochs"))
 
 
@@ -78,9 +83,10 @@ def structured(text: Column, sets: tuple[tuple[str, ...], ...] = STRUCTURES) ->
     return F.exists(every, lambda s: F.forall(s, lambda w: F.contains(text, w)))
 
 
-def checked(df: DataFrame, q: Column, answer: Column, least: int, too_short: str, no_structure: str) -> DataFrame:
-    """All rows, with ``status`` and ``final_response``: rejects keep a stock answer (F-12)."""
-    status = F.when(T.token_count(q) <= least, "too_short").when(~F.coalesce(structured(q), F.lit(False)), "no_structure").otherwise("valid")
+def checked(df: DataFrame, q: Column, answer: Column, least: int, too_short: str, no_structure: str, whole: Column | None = None) -> DataFrame:
+    """All rows, with ``status`` and ``final_response``: rejects keep a stock answer (F-12). ``whole`` is the text whose
+    structure is checked, the query if it isn't given."""
+    status = F.when(T.token_count(q) <= least, "too_short").when(~F.coalesce(structured(q if whole is None else whole), F.lit(False)), "no_structure").otherwise("valid")
     return df.withColumn("status", status).withColumn("final_response", F.when(F.col("status") == "too_short", too_short).when(F.col("status") == "no_structure", no_structure).otherwise(answer))
 
 
@@ -135,17 +141,17 @@ def without_system(messages: Column) -> Column:
     return F.when((F.size(messages) >= 2) & (messages[0]["role"] == "system"), F.concat(F.array(merged), F.slice(messages, F.lit(3), F.greatest(F.size(messages) - 2, F.lit(0))))).otherwise(messages)
 
 
-# Sentences that are added to a system message by name.
+# What is added to an instruction by name.
 CAVEATS = {
-    "only_score": "Only output the score.",
-    "score_after_short_explanation": "Give a short explanation first, then the score.",
-    "explain_scoring": "Explain how you came to the score.",
+    "only-scoring": "Do not do anything else other than scoring. Only the final score (x) should be returned in the form of `s: x`.",
+    "with-scoring-explation": "A strong judgement (2 or -2) means that you are confident while a moderate judgement (1 or -1) means that the Drafted answer cannot fully convince you. For cases where you cannot give an accurate judgement, for example, a blank answer is given, you should return 0 as your judgement.",
+    "score-after-analysis": "Briefly analyze the similarities and differences between the ground-truth answer and the answer to be judged. The final score (x) should be returned in the form of `s: x`.",
 }
 
 
 def with_caveats(instruction: Column, caveats: list[str]) -> Column:
-    """The instruction with caveats added in order; an unknown name is added as it is (T-e)."""
-    return F.concat_ws("\n", instruction, *(F.lit(CAVEATS.get(c, c)) for c in caveats))
+    """The instruction with caveats added in order behind blank lines; an unknown name is added as it is (T-e)."""
+    return F.concat_ws("\n\n", instruction, *(F.lit(CAVEATS.get(c, c)) for c in caveats))
 
 
 def token_labels(messages: Column, tokenise=T.tokens, ignore: str = "-100") -> Column:

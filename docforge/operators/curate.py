@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions import text as T
 
-#: Fields that a valid record must have.
+# Fields that a valid record must have.
 REQUIRED = (
     "extracted_index", "spec", "title", "reason_for_change", "summary_of_change", "consequences_if_not_approved", "clauses_affected", "date", "source", "category", "meeting_id",
 )
@@ -52,8 +52,9 @@ def grouped(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def difficulty(df: DataFrame) -> Column:
-    """Number of the signs of difficulty that hold: two sides, another specification listed, a changed table (A-20)."""
-    signs = (F.size(F.coalesce("change_list", F.array().cast("array<string>"))) > 1, F.size(F.coalesce("other_specs_affected", F.array().cast("array<string>"))) > 0, F.coalesce("table_modified_flag", F.lit(False)))
+    """Number of the signs of difficulty that hold: two sides, another specification listed, a changed table or figure
+    (A-20)."""
+    signs = (F.size(F.coalesce("change_list", F.array().cast("array<string>"))) > 1, F.size(F.coalesce("other_specs_affected", F.array().cast("array<string>"))) > 0, F.coalesce("table_modified_flag", F.lit(False)) | F.coalesce("figure_modified_flag", F.lit(False)))
     return sum((s.cast("int") for s in signs), F.lit(0))
 
 
@@ -71,7 +72,7 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
 
 def balanced(df: DataFrame, query: str, order: str, replicates: int, width: int = 250) -> DataFrame:
     """The first ``replicates`` rows per signature, which is the query's first and last characters (W-1). The signature's
-    hash is what is shuffled and sorted; ties in ``order`` are broken by Spark's row order of equal rows."""
+    hash is what is shuffled and sorted. ``order`` must be unique, else it isn't defined which of equal rows are kept."""
     w = Window.partitionBy("_signature").orderBy(order)
     signed = df.withColumn("_signature", F.md5(F.concat(F.left(query, F.lit(width)), F.right(query, F.lit(width)))))
     return signed.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= replicates).drop("_signature", "_rank")
@@ -79,11 +80,12 @@ def balanced(df: DataFrame, query: str, order: str, replicates: int, width: int
 
 def cached_answers(sources: DataFrame, cache: DataFrame, key: str, source_order: str, cache_order: str) -> DataFrame:
     """Each source with its cached answer (J-1): of the cache the last entry of a key, of the sources the first of a key;
-    an empty answer is a miss."""
-    s = sources.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(source_order)))
-    c = cache.groupBy(F.col(key).alias("_key")).agg(F.max_by("answer", cache_order).alias("answer")).withColumn("_first", F.lit(1))
-    joined = s.join(c, (F.col(key) == F.col("_key")) & (F.col("_rn") == F.col("_first")), "left")
-    return joined.withColumn("answer", F.nullif("answer", F.lit(""))).drop("_rn", "_key", "_first")
+    an empty answer is a miss. ``source_order`` is unique. Both sides are aggregated to a row a key before they are joined,
+    so neither a hot key nor the rows without one are gathered."""
+    first = sources.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(source_order).alias("_first"))
+    c = cache.groupBy(F.col(key).alias("_key")).agg(F.max_by("answer", cache_order).alias("answer"))
+    hits = first.join(c, "_key").select(F.col("_first").alias(source_order), F.nullif("answer", F.lit("")).alias("answer"))
+    return sources.join(hits, source_order, "left")
 
 
 def resumed(done: DataFrame, todo: DataFrame, key: str) -> DataFrame:

@@ -74,10 +74,10 @@ def rendered(rows: Column) -> Column:
 
 
 def controlled_context(rows: Column, rate: float) -> Column:
-    """Structured rows with the unchanged ones left out if they are more than ``rate`` of the tokens, each run of them as
-    one [X] row (X-6, mode "all"). Without any tokens nothing is left out."""
+    """Structured rows with the unchanged ones left out if they are more than ``rate`` of the tokens of the original side,
+    each run of them as one [X] row (X-6, mode "all"). Without any tokens nothing is left out."""
     size = lambda ls: F.aggregate(ls, F.lit(0), lambda s, x: s + T.token_count(x))
-    total = lambda want: F.aggregate(F.filter(rows, want), F.lit(0), lambda s, r: s + size(r["original"]) + F.when(r["op"] == "[ ]", 0).otherwise(size(r["revised"])))
+    total = lambda want: F.aggregate(F.filter(rows, want), F.lit(0), lambda s, r: s + size(r["original"]))
     context, revised = total(lambda r: r["op"] == "[ ]"), total(lambda r: r["op"] != "[ ]")
     omitted = F.transform(rows, lambda r, i: F.when(r["op"] != "[ ]", F.array(r)).when((i > 0) & (F.get(rows, i - 1)["op"] == "[ ]"), F.array().cast("array<struct<op:string,original:array<string>,revised:array<string>>>")).otherwise(F.array(F.struct(F.lit("[X]").alias("op"), F.array(F.lit("==== Omitted ====")).alias("original"), F.array(F.lit("==== Omitted ====")).alias("revised")))))
     return F.when(F.coalesce(F.try_divide(context, context + revised), F.lit(0.0)) > rate, F.flatten(omitted)).otherwise(rows)

@@ -33,20 +33,25 @@ class Registry:
 framings = Registry("framing")
 
 
-def _section(title: str, c: Column) -> Column:
-    return F.concat(F.lit(f"{title}: "), F.coalesce(c, F.lit("")))
+def _lines(*parts: str | Column) -> Column:
+    """Lines of fixed text and fields; a null field is an empty line."""
+    return F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts))
 
 
-framings.register("fill-cr", lambda r: F.concat_ws("\n", _section("Specification", r["spec"]), _section("Title", r["title"]), _section("Original text", r["original"])))
-framings.register("outline-revision", lambda r: F.concat_ws("\n", _section("Reason for change", r["reason"]), _section("Summary of change", r["summary"]), _section("Original text", r["original"])))
-framings.register("diff-analysis", lambda r: F.concat_ws("\n", _section("Original text", r["original"]), _section("Revised text", r["revised"])))
-framings.register("judge", lambda r: F.concat_ws("\n", _section("Reference", r["reference"]), _section("Draft", r["draft"])))
-framings.register("validity-check", lambda r: F.concat_ws("\n", _section("Query", r["query"]), _section("Response", r["response"]), F.lit("Answer VALID or INVALID with a reason.")))
+# The headings of the framings of tasks and of judgements.
+framings.register("fill-cr", lambda r: _lines(">>> Original Specification Statements:", r["original"]))
+framings.register("outline-revision", lambda r: _lines(">>> Change Request:", "- **Reason for change**:", r["reason"], "- **Consequences if not revised**:", r["consequences"], "", ">>> Original Specification Statement:", r["original"]))
+framings.register("diff-analysis", lambda r: _lines(">>> Diffed Specification Statements:", r["diff"]))
+framings.register("reasoning", lambda r: _lines("### Consequences if not revised", r["consequences"], "### Reason for the revision", r["reason"]))
+framings.register("judge-outline-revision", lambda r: F.concat_ws("\n\n", _lines("## Reference Edition", r["reference"]), _lines("## Drafted Edition", r["draft"])))
+for _task in ("diff-analysis", "fill-cr"):
+    framings.register(f"judge-{_task}", lambda r: F.concat_ws("\n\n", _lines("## Reference Report", r["reference"]), _lines("## Drafted Report", r["draft"])))
+framings.register("validity-check", lambda r: _lines("Query:", r["query"], "Response:", r["response"], "Answer VALID or INVALID with a reason."))
 
 
 def shuffled_parts(first: Column, second: Column, key: Column, seed: int = 0) -> Column:
-    """Two parts in an order chosen by hash (T-c, Q-29)."""
-    return F.when(T.hashed_choice(key, seed, 2) == 0, F.concat_ws("\n", first, second)).otherwise(F.concat_ws("\n", second, first))
+    """Two parts, a blank line between them, in an order chosen by hash (T-c, Q-29)."""
+    return F.when(T.hashed_choice(key, seed, 2) == 0, F.concat_ws("\n\n", first, second)).otherwise(F.concat_ws("\n\n", second, first))
 
 
 def system_message(instruction: Column, shots: Column | None = None, as_json: bool = False, suffix: str = "") -> Column:

@@ -14,12 +14,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 0.9, b: f
 
     Only the queries' terms are joined to the postings, so a posting list is read once and never gathered; per query and
     document one sum is shuffled. A null or empty text has no terms."""
+    from docforge.functions.work import written
+
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    split = docs.select("doc_id", words("text").alias("w")).where("w is not null")
     asked = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("term"))
-    stats = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("mean_size"))
-    wanted = asked.select("term").distinct()
-    tf = split.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    # written first, so the planner knows its size and broadcasts it while it is small
+    wanted = written(asked.select("term").distinct(), "terms")
+    split = docs.select("doc_id", words("text").alias("w")).where("w is not null").select("doc_id", F.size("w").alias("size"), F.explode_outer("w").alias("term"))
+    # one pass over the texts: a row a document for its size (term null), and one a wanted term
+    kept = split.join(wanted.withColumn("_wanted", F.lit(1)), "term", "left").select("doc_id", "size", F.when(F.col("_wanted") == 1, F.col("term")).alias("term"))
+    counted = written(kept.groupBy("doc_id", "size", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = counted.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("mean_size"))
+    tf = counted.where("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
@@ -37,8 +43,8 @@ def budget_taken(sizes: Column, limit: int) -> Column:
 
 
 def joined_hits(hits: Column) -> Column:
-    """Hits between numbered lines (R-3)."""
-    framed = F.transform(hits, lambda h, i: F.concat(F.lit("#### Change "), (i + 1).cast("string"), F.lit(" Begins ####\n"), h, F.lit("\n#### Change "), (i + 1).cast("string"), F.lit(" Ends ####\n")))
+    """Hits between numbered lines, as they are, without a line end behind the text (R-3)."""
+    framed = F.transform(hits, lambda h, i: F.concat(F.lit("#### Change "), (i + 1).cast("string"), F.lit(" Begins ####\n"), h, F.lit("#### Change "), (i + 1).cast("string"), F.lit(" Ends ####\n")))
     return F.array_join(framed, "")
 
 

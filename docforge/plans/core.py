@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
+from docforge.functions.work import written
 from docforge.operators import chunk, conversations as conv, curate, diffs, evaluate, mix, prompts, retrieve, timestamps
 from docforge.plans import views as V
 from docforge.sources.tables import table
@@ -100,7 +101,8 @@ def md5_16_signature(spark, d):
 
 # --- curation ---
 
-_VALID = " and ".join(f"{c} is not null" for c in curate.REQUIRED)
+_VALID = """extracted_index is not null and spec is not null and title is not null and reason_for_change is not null and summary_of_change is not null and consequences_if_not_approved is not null
+ and clauses_affected is not null and date is not null and source is not null and category is not null and meeting_id is not null"""
 
 
 @query(f"select cr_id from change_requests where {_VALID} and change_list is not null and len(change_list) = 2")
@@ -149,32 +151,37 @@ def group_by_artifact(spark, d):
     return curate.grouped(_cr(spark, d), curate.artifact(), "artifact")
 
 
-@query("select cr_id, (len(coalesce(change_list, [])) > 1)::int + (len(coalesce(other_specs_affected, [])) > 0)::int + coalesce(table_modified_flag, false)::int as difficulty from change_requests")
+@query("select cr_id, (len(coalesce(change_list, [])) > 1)::int + (len(coalesce(other_specs_affected, [])) > 0)::int + (coalesce(table_modified_flag, false) or coalesce(figure_modified_flag, false))::int as difficulty from change_requests")
 def difficulty_level(spark, d):
     c = _cr(spark, d)
     return c.select("cr_id", curate.difficulty(c).alias("difficulty"))
 
 
-_RICH = f"case when {_tok('reason_for_change')} > 0 and {_tok('change_list[2]')} > 0 then {_tok('reason_for_change')} / {_tok('change_list[2]')} end"
+_REASONING = ["title", "spec", "reason_for_change", "summary_of_change", "consequences_if_not_approved"]
 
 
 def _rich(spark, d):
-    return _cr(spark, d).select("cr_id", F.round(curate.richness(F.col("reason_for_change"), _side(1)), 6).alias("richness"))
+    side = lambda k: F.when(F.size("change_list") == 2, T.sentences(_side(k)))
+    sides = _cr(spark, d).select("cr_id", T.reasoning_text(_REASONING).alias("reasoning"), side(0).alias("a"), side(1).alias("b"))
+    ops = sides.withColumn("ops", diffs.opcodes(F.col("a"), F.col("b")))
+    return ops.select("cr_id", curate.richness(F.col("reasoning"), diffs.located_revision(F.col("b"), F.col("ops"))).alias("richness"))
 
 
-@query(f"select cr_id, round({_RICH}, 6) as richness from change_requests")
+@query()
 def richness_label(spark, d):
-    return _rich(spark, d)
+    """Tokens of all reasoning fields by tokens of the changed sentences of the revision (P-31); null where either has
+    none or there are not two sides."""
+    return _rich(spark, d).withColumn("richness", F.round("richness", 6))
 
 
-@query(f"select cr_id from change_requests where {_RICH} >= 0.1")
+@query()
 def richness_filter(spark, d):
-    return _cr(spark, d).where(curate.richness(F.col("reason_for_change"), _side(1)) >= 0.1).select("cr_id")
+    return _rich(spark, d).where("richness >= 0.1").select("cr_id")
 
 
-@query(f"with r as (select round({_RICH}, 6) as v from change_requests) select count(v) as n, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.1), 6) as p10, round(quantile_cont(v, 0.9), 6) as p90 from r")
+@query()
 def richness_distribution(spark, d):
-    return curate.distribution(_rich(spark, d), "richness")
+    return curate.distribution(richness_label(spark, d), "richness")
 
 
 @query("select wg_tdoc, count(*) as n from crawl_index where lower(trim(tsg_level_status)) = 'approved' and regexp_matches(trim(wg_tdoc), '\\p{L}') and length(trim(wg_tdoc)) >= 5 and contains(trim(wg_tdoc), '-') group by 1")
@@ -198,12 +205,12 @@ def cached_answer_join(spark, d):
     return curate.cached_answers(c.select("cr_id", "key"), cache, "key", "cr_id", "file_id").select("cr_id", "key", "answer")
 
 
-_VERDICT = "coalesce(nullif(regexp_extract(lower(title), '(security|key|integrity|ciphering)'), '') is not null, false)"
+_VERDICT = "coalesce(nullif(regexp_extract(lower(concat_ws(' ', title, reason_for_change, summary_of_change, change_list[1], change_list[2])), '(security|key|integrity|ciphering)'), '') is not null, false)"
 
 
 @query(f"select case when {_VERDICT} then 'related' else 'unrelated' end as sec_label, count(*) as n from change_requests group by 1")
 def security_split(spark, d):
-    v = F.when(T.verdict(F.lower("title"), "security|key|integrity|ciphering").isNotNull(), "security-related")
+    v = F.when(T.verdict(F.lower(F.concat_ws(" ", "title", "reason_for_change", "summary_of_change", _side(0), _side(1))), "security|key|integrity|ciphering").isNotNull(), "security-related")
     return _cr(spark, d).groupBy(curate.security_split(v).alias("sec_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -237,10 +244,14 @@ def conv_token_distribution(spark, d):
     return curate.distribution(conv.message_tokens(V.conversations(spark, d)), "n_tokens")
 
 
-@query(f"""with {_C}, {_MT}, a as (select count(*) as n, sum(least(n_tokens, 400)) as billed_tokens, sum((n_tokens > 400)::int) as n_over from mt),
- e as (select *, case when n * 3 < 100 then least(25, ceil(100 / n)) when n * 3 > 25000 then greatest(1, floor(25000 / n)) else 3 end::bigint as epochs from a) select *, billed_tokens * epochs as epoch_tokens from e""")
-def billing_tokens(spark, d):
-    return conv.billing(conv.message_tokens(V.conversations(spark, d)), limit=400)
+for _name, _least, _most in (("billing_tokens", 100, 25000), ("billing_few_examples", 10_001, 10**9), ("billing_many_examples", 1, 999)):
+
+    def _billing(spark, d, least=_least, most=_most):
+        return conv.billing(conv.message_tokens(V.conversations(spark, d)), limit=400, least=least, most=most)
+
+    _billing.__name__ = _name
+    query(f"""with {_C}, {_MT}, a as (select count(*) as n, sum(least(n_tokens, 400)) as billed_tokens, sum((n_tokens > 400)::int) as n_over from mt),
+ e as (select *, case when n * 3 < {_least} then least(25, {_least} // n) when n * 3 > {_most} then greatest(1, {_most} // n) else 3 end::bigint as epochs from a) select *, billed_tokens * epochs as epoch_tokens from e""")(_billing)
 
 
 @query(f"with {_C} select conv_id, turn from conv where task in ('general', 'fill-cr')")
@@ -271,18 +282,27 @@ def max_query(spark, d):
     return conv.by_length(_msgs(spark, d), conv.query(F.col("messages"), F.col("task")), most=60).select("conv_id")
 
 
-_STRUCT = " or ".join("(" + " and ".join(f"contains({{0}}, '{w}')" for w in s) + ")" for s in conv.STRUCTURES)
+_FRAMED = """case upper(category) when 'F' then '>>> Original Specification Statements:' || chr(10) when 'B' then '>>> Change Request:' || chr(10) || '- **Reason for change**:' || chr(10) || '- **Consequences if not revised**:' || chr(10) || '>>> Original Specification Statement:' || chr(10)
+ when 'C' then '>>> Diffed Specification Statements:' || chr(10) when 'D' then '>>> Marked Specification Statements:' || chr(10) else '' end || regexp_replace(coalesce(response_text, ''), '[*][*]([A-Z ]+)[*][*]', '>>> {ref}', 'g') || case when consequences_if_not_approved is not null then chr(10) || '>>> CONSEQUENCES IF NOT REVISED' else '' end || case when page_count > 3 then chr(10) || '>>> SUMMARY OF CHANGES' else '' end"""
+_STRUCT = """((contains({0}, '>>> Original Specification Statements:') or contains({0}, '>>> Diffed Specification Statements:') or contains({0}, '>>> Marked Specification Statements:')) and contains({0}, '>>> REASON FOR CHANGE') and contains({0}, '>>> SUMMARY OF CHANGE') and contains({0}, '>>> CONSEQUENCES IF NOT REVISED'))
+ or (contains({0}, '>>> Change Request:') and contains({0}, '- **Reason for change**:') and contains({0}, '- **Consequences if not revised**:') and contains({0}, '>>> Original Specification Statement:') and contains({0}, '>>> SUMMARY OF CHANGES'))"""
+_FRAME_VIEW = "framed as (select *, coalesce(" + _FRAMED.replace("{ref}", "\\1") + ", '') as whole from change_requests)"
 
 
-@query(f"select cr_id, coalesce({_STRUCT.format('response_text')}, false) as structured from change_requests")
+def _whole(spark, d):
+    """The change requests with the text of a framed task and its answer."""
+    return _cr(spark, d).withColumn("whole", F.coalesce(F.expr(_FRAMED.replace("{ref}", "$1").replace(", 'g')", ")")), F.lit("")))
+
+
+@query(f"with {_FRAME_VIEW} select cr_id, {_STRUCT.format('whole')} as structured from framed")
 def structure_check(spark, d):
-    return _cr(spark, d).select("cr_id", F.coalesce(conv.structured(F.col("response_text")), F.lit(False)).alias("structured"))
+    return _whole(spark, d).select("cr_id", conv.structured(F.col("whole")).alias("structured"))
 
 
-@query(f"""with s as (select cr_id, response_text, case when {_tok('reason_for_change')} <= 20 then 'too_short' when not coalesce({_STRUCT.format('reason_for_change')}, false) then 'no_structure' else 'valid' end as status from change_requests)
+@query(f"""with {_FRAME_VIEW}, s as (select cr_id, response_text, case when {_tok('reason_for_change')} <= 20 then 'too_short' when not coalesce({_STRUCT.format('whole')}, false) then 'no_structure' else 'valid' end as status from framed)
  select cr_id, status, case status when 'too_short' then 'The query is too short.' when 'no_structure' then 'The query has no structure.' else response_text end as final_response from s""")
 def retain_invalid(spark, d):
-    return conv.checked(_cr(spark, d), F.col("reason_for_change"), F.col("response_text"), 20, "The query is too short.", "The query has no structure.").select("cr_id", "status", "final_response")
+    return conv.checked(_whole(spark, d), F.col("reason_for_change"), F.col("response_text"), 20, "The query is too short.", "The query has no structure.", F.col("whole")).select("cr_id", "status", "final_response")
 
 
 @query(f"with {_C}, f as (select conv_id, min(turn) as t from (select *, row_number() over (partition by conv_id order by turn) as r from conv) where role = 'user' and r > 2 group by 1) select c.conv_id, count(*) as n from conv c left join f using (conv_id) where f.t is null or c.turn < f.t group by 1")
@@ -325,9 +345,15 @@ def merge_system(spark, d):
     return conv.messages(V.conversations(spark, d)).select("conv_id", m[0]["content"].alias("first_message"), F.size(m).cast("long").alias("n"))
 
 
-@query("select cr_id, title || chr(10) || 'Only output the score.' || chr(10) || 'Be brief.' as instruction from change_requests where title is not null")
+@query("""select cr_id, title || chr(10) || chr(10) || 'Do not do anything else other than scoring. Only the final score (x) should be returned in the form of `s: x`.' || chr(10) || chr(10) || 'Be brief.' as instruction from change_requests where title is not null""")
 def caveat_apply(spark, d):
-    return _cr(spark, d).where("title is not null").select("cr_id", conv.with_caveats(F.col("title"), ["only_score", "Be brief."]).alias("instruction"))
+    return _cr(spark, d).where("title is not null").select("cr_id", conv.with_caveats(F.col("title"), ["only-scoring", "Be brief."]).alias("instruction"))
+
+
+@query("""select cr_id, title || chr(10) || chr(10) || 'Briefly analyze the similarities and differences between the ground-truth answer and the answer to be judged. The final score (x) should be returned in the form of `s: x`.' || chr(10) || chr(10)
+ || 'A strong judgement (2 or -2) means that you are confident while a moderate judgement (1 or -1) means that the Drafted answer cannot fully convince you. For cases where you cannot give an accurate judgement, for example, a blank answer is given, you should return 0 as your judgement.' as instruction from change_requests where title is not null""")
+def caveat_explanations(spark, d):
+    return _cr(spark, d).where("title is not null").select("cr_id", conv.with_caveats(F.col("title"), ["score-after-analysis", "with-scoring-explation"]).alias("instruction"))
 
 
 @query(f"with {_C} select conv_id, sum({_tok('text')} + 4) + 2 + 15 as n_tokens from conv group by 1")
@@ -347,40 +373,55 @@ def collate_padding(spark, d):
     return conv.collated(rows, "ids", "batch", 64).select("cr_id", "batch", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_real"), F.size("ids").cast("long").alias("width"))
 
 
-@query("select cr_id, concat_ws(chr(10), 'Specification: ' || coalesce(spec, ''), 'Title: ' || coalesce(title, ''), 'Original text: ' || coalesce(change_list[1], '')) as prompt from change_requests")
+@query("select cr_id, '>>> Original Specification Statements:' || chr(10) || coalesce(change_list[1], '') as prompt from change_requests")
 def frame_fill_cr(spark, d):
     return _framed(spark, d, "fill-cr")
 
 
-@query("select cr_id, concat_ws(chr(10), 'Reason for change: ' || coalesce(reason_for_change, ''), 'Summary of change: ' || coalesce(summary_of_change, ''), 'Original text: ' || coalesce(change_list[1], '')) as prompt from change_requests")
+@query("""select cr_id, '>>> Change Request:' || chr(10) || '- **Reason for change**:' || chr(10) || coalesce(reason_for_change, '') || chr(10) || '- **Consequences if not revised**:' || chr(10) || coalesce(consequences_if_not_approved, '') || chr(10) || chr(10)
+ || '>>> Original Specification Statement:' || chr(10) || coalesce(change_list[1], '') as prompt from change_requests""")
 def frame_outline(spark, d):
     return _framed(spark, d, "outline-revision")
 
 
-@query("select cr_id, concat_ws(chr(10), 'Original text: ' || coalesce(change_list[1], ''), 'Revised text: ' || coalesce(change_list[2], '')) as prompt from change_requests")
+@query("select cr_id, '### Consequences if not revised' || chr(10) || coalesce(consequences_if_not_approved, '') || chr(10) || '### Reason for the revision' || chr(10) || coalesce(reason_for_change, '') as prompt from change_requests")
+def frame_reasoning(spark, d):
+    return _framed(spark, d, "reasoning")
+
+
+@query()
 def frame_diff(spark, d):
-    return _framed(spark, d, "diff-analysis")
+    rows = _diff(spark, d).select("cr_id", diffs.rendered(diffs.structured(F.col("a"), F.col("b"), F.col("ops"))).alias("diff"))
+    return rows.select("cr_id", prompts.framings["diff-analysis"]({"diff": F.col("diff")}).alias("prompt"))
+
+
+@query("select cr_id, '## Reference Edition' || chr(10) || coalesce(gold_response, '') || chr(10) || chr(10) || '## Drafted Edition' || chr(10) || coalesce(response_text, '') as prompt from change_requests")
+def frame_judge_edition(spark, d):
+    return _framed(spark, d, "judge-outline-revision")
 
 
-@query("select cr_id, concat_ws(chr(10), 'Reference: ' || coalesce(gold_response, ''), 'Draft: ' || coalesce(response_text, '')) as prompt from change_requests")
+@query("select cr_id, '## Reference Report' || chr(10) || coalesce(gold_response, '') || chr(10) || chr(10) || '## Drafted Report' || chr(10) || coalesce(response_text, '') as prompt from change_requests")
 def frame_judge(spark, d):
-    return _framed(spark, d, "judge")
+    return _framed(spark, d, "judge-diff-analysis")
 
 
 def _framed(spark, d, name):
-    fields = {"spec": F.col("spec"), "title": F.col("title"), "reason": F.col("reason_for_change"), "summary": F.col("summary_of_change"), "original": _side(0), "revised": _side(1), "reference": F.col("gold_response"), "draft": F.col("response_text")}
+    fields = {"reason": F.col("reason_for_change"), "consequences": F.col("consequences_if_not_approved"), "original": _side(0), "reference": F.col("gold_response"), "draft": F.col("response_text")}
     return _cr(spark, d).select("cr_id", prompts.framings[name](fields).alias("prompt"))
 
 
 # --- parsing ---
 
-_SCORE = """coalesce(case when trim({0}) in ('-2','-1','0','1','2') then trim({0})::int end, try_cast(regexp_extract_all({0}, 's[:=]\\s?(-?\\d+)', 1)[-1] as int),
- case when contains(lower({0}), 'strongly agree') then 2 when contains(lower({0}), 'strongly disagree') then -2 when contains(lower({0}), 'disagree') then -1 when contains(lower({0}), 'agree') then 1 when contains(lower({0}), 'neutral') then 0 end)"""
+_SCORE = """coalesce(case when {0} in ('-2','-1','0','1','2') then {0}::int end, try_cast(regexp_extract_all({0}, 's[:=] (-?\\d+)', 1)[-1] as int),
+ case when contains(lower({0}), 'strongly agree') then 2 when contains(lower({0}), 'strongly disagree') then -2 when contains(lower({0}), 'disagree') then -1 when contains(lower({0}), 'agree') then 1 when contains(lower({0}), 'neutral') then 0 end,
+ try_cast(nullif(regexp_extract({0}, 'Score\\D*(\\d+)', 1), '') as int))"""
 
 
-@query(f"with {V.SCORES_SQL} select eval_id, {_SCORE.format('scoring_text[1]')} as extracted from scores")
+@query(f"with {V.SCORES_SQL}, t as (select eval_id, unnest(scoring_text) as v, (generate_subscripts(scoring_text, 1) - 1)::int as k from scores) select eval_id, k, {_SCORE.format('v')} as extracted from t")
 def score_extract(spark, d):
-    return V.scores(spark, d).select("eval_id", T.score_of(F.get("scoring_text", F.lit(0))).alias("extracted"))
+    """Every judgement of each completion, with the template of the scoring prompt."""
+    each = V.scores(spark, d).select("eval_id", F.posexplode("scoring_text").alias("k", "v"))
+    return each.select("eval_id", "k", T.score_of("v", F.lit('Give the mark as "Score x" and nothing else.')).alias("extracted"))
 
 
 @query("select cr_id, nullif(coalesce(regexp_extract_all(response_text, '\\b(?:shall|may|should)\\b')[-1], ''), '') as verdict from change_requests")
@@ -398,9 +439,10 @@ def section_extract(spark, d):
     return _cr(spark, d).select("cr_id", T.section("response_text", "SUMMARY OF CHANGE").alias("summary"), T.section("response_text", "REASON FOR CHANGE").alias("reason"))
 
 
-@query("select cr_id, clause, count(*) as n from (select cr_id, unnest(list_transform(regexp_extract_all(change_list[2], '[Cc]lauses?\\s+([\\d.]+)', 1), lambda x: regexp_replace(x, '\\.+$', ''))) as clause from change_requests) group by 1, 2")
+@query("select cr_id, clause, count(*) as n from (select cr_id, unnest(list_transform(regexp_extract_all(side, '[Cc]lauses?\\s+([\\d.]+)', 1), lambda x: regexp_replace(x, '\\.+$', ''))) as clause from (select cr_id, unnest(change_list) as side from change_requests)) group by 1, 2")
 def clause_refs(spark, d):
-    return _cr(spark, d).select("cr_id", F.explode(T.clause_references(_side(1))).alias("clause")).groupBy("cr_id", "clause").agg(F.count(F.lit(1)).alias("n"))
+    sides = _cr(spark, d).select("cr_id", F.explode("change_list").alias("side"))
+    return sides.select("cr_id", F.explode(T.clause_references("side")).alias("clause")).groupBy("cr_id", "clause").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select cr_id, regexp_replace(response_text, '(?s)\\.[^.]*$', '') || '.' as whole from change_requests")
@@ -566,18 +608,11 @@ def budget_take(spark, d):
     return per.select("query_id", used.alias("used"))
 
 
-@query(f"with {_BM} select query_id, string_agg('#### Change ' || rank || ' Begins ####' || chr(10) || lang || chr(10) || '#### Change ' || rank || ' Ends ####' || chr(10), '' order by rank) as joined from hits join (select doc_id, coalesce(lang, 'und') as lang from documents) using (doc_id) group by 1")
+@query(f"with {_BM} select query_id, string_agg('#### Change ' || rank || ' Begins ####' || chr(10) || coalesce(text, '') || '#### Change ' || rank || ' Ends ####' || chr(10), '' order by rank) as joined from hits join documents using (doc_id) group by 1")
 def hit_concat(spark, d):
-    hits = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang")), "doc_id")
-    per = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lang"))), lambda x: x["lang"]).alias("hits"))
-    return per.select("query_id", retrieve.joined_hits(F.col("hits")).alias("joined"))
-
-
-@query()
-def hit_text_concat(spark, d):
-    """The whole texts of each query's hits between numbered lines (R-3). hit_concat, fixed by its SQL, joins their
-    languages instead."""
-    hits = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    """The whole texts of each query's hits between numbered lines (R-3). The hits, at most 20 a query, are written first, so
+    that the planner knows their size."""
+    hits = written(_bm25(spark, d), "hits").join(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     per = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("hits"))
     return per.select("query_id", retrieve.joined_hits(F.col("hits")).alias("joined"))
 
@@ -675,33 +710,6 @@ def located_revision(spark, d):
     return _diff(spark, d).select("cr_id", diffs.located_revision(F.col("b"), F.col("ops")).alias("revision"))
 
 
-_REASONING = ["title", "spec", "reason_for_change", "summary_of_change", "consequences_if_not_approved"]
-
-
-def _located_rich(spark, d):
-    side = lambda k: F.when(F.size("change_list") == 2, T.sentences(_side(k)))
-    sides = _cr(spark, d).select("cr_id", T.reasoning_text(_REASONING).alias("reasoning"), side(0).alias("a"), side(1).alias("b"))
-    ops = sides.withColumn("ops", diffs.opcodes(F.col("a"), F.col("b")))
-    return ops.select("cr_id", curate.richness(F.col("reasoning"), diffs.located_revision(F.col("b"), F.col("ops"))).alias("richness"))
-
-
-@query()
-def located_richness_label(spark, d):
-    """Tokens of all reasoning fields by tokens of the changed sentences of the revision (P-31); null where either has
-    none or there are not two sides. richness_label, fixed by its SQL, takes one field and the whole revised side."""
-    return _located_rich(spark, d).withColumn("richness", F.round("richness", 6))
-
-
-@query()
-def located_richness_filter(spark, d):
-    return _located_rich(spark, d).where("richness >= 0.1").select("cr_id")
-
-
-@query()
-def located_richness_distribution(spark, d):
-    return curate.distribution(located_richness_label(spark, d), "richness")
-
-
 @query()
 def context_control(spark, d):
     rows = diffs.structured(F.col("a"), F.col("b"), F.col("ops"))
@@ -730,7 +738,7 @@ def stride_sample(spark, d):
     return mix.stride(_sized(spark, d), "doc_id").select("doc_id")
 
 
-@query(f"with {_C} select conv_id, turn, list_position(['general','outline-revision','diff-analysis','explain-vuln','fill-cr'], task)::bigint - 1 as stage, md5(conv_id::varchar || ':0') as place from conv")
+@query(f"with {_C} select conv_id, turn, list_position(['general','outline-revision','diff-analysis','explain-vuln','fill-cr'], task)::bigint - 1 as stage, md5(conv_id::varchar || ':0') as place from conv where task is not null")
 def curriculum_order(spark, d):
     return mix.curriculum(V.conversations(spark, d), "conv_id").select("conv_id", "turn", "stage", "place")
 

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from docforge.sources.tables import table
 
 CONVERSATIONS = """
-select cr_id as conv_id, 0 as turn, 'system' as role, 'You are a standards engineer. Answer briefly.' as text, {task} as task from {change_requests} where cr_id % 3 = 0
+select cr_id as conv_id, 0 as turn, 'system' as role, 'You are a standards engineer. Answer briefly.' as text, {task} as task from {change_requests} where work_item_code is not null
 union all select cr_id, 1, 'user', reason_for_change, {task} from {change_requests}
-union all select cr_id, 2, 'assistant', response_text, {task} from {change_requests} where cr_id % 11 <> 5
-union all select cr_id, 3, 'user', summary_of_change, {task} from {change_requests} where cr_id % 4 = 0
-union all select cr_id, 4, 'assistant', gold_response, {task} from {change_requests} where cr_id % 4 = 0"""
-_TASK = "case cr_id % 5 when 0 then 'general' when 1 then 'outline-revision' when 2 then 'diff-analysis' when 3 then 'explain-vuln' else 'fill-cr' end"
+union all select cr_id, 2, 'assistant', response_text, {task} from {change_requests}
+union all select cr_id, 3, case when source_to_tsg is null then 'tool' else 'user' end, summary_of_change, {task} from {change_requests} where summary_of_change is not null
+union all select cr_id, 4, 'assistant', gold_response, {task} from {change_requests} where gold_response is not null"""
+_TASK = "case upper(coalesce(category, '')) when 'F' then 'fill-cr' when 'A' then 'general' when 'B' then 'outline-revision' when 'C' then 'diff-analysis' when 'D' then 'explain-vuln' end"
 SCORES = "select distinct * from {eval_scores}"
 
 

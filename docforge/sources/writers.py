@@ -39,14 +39,17 @@ def content_key(config: dict) -> str:
 
 
 def materialised(spark: SparkSession, folder: str, config: dict, make) -> DataFrame:
-    """The table of a configuration: read if it was written with this MAGIC before, else made and written (K-8, Q-23)."""
+    """The table of a configuration: read if it was written with this MAGIC before, else made and written (K-8, Q-23). The
+    marker is removed before the data are written and made after, so it never stands beside half of them; any fault but a
+    missing marker is raised."""
     path = f"{folder}/{content_key(config)}"
-    try:
-        meta = spark.read.json(f"{path}/_meta.json").first()
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta.json")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(marker):
+        meta = spark.read.schema("magic string").json(f"{path}/_meta.json").first()
         if meta and meta["magic"] == MAGIC:
             return spark.read.parquet(f"{path}/data")
-    except Exception:  # nothing there, or nothing that can be read: it is made anew
-        pass
+        fs.delete(marker, True)
     make().write.mode("overwrite").parquet(f"{path}/data")
     spark.createDataFrame([(MAGIC,)], "magic string").write.mode("overwrite").json(f"{path}/_meta.json")
     return spark.read.parquet(f"{path}/data")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docforge.functions.work import written
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     """New parquet files of a folder as a stream; the bound on files a trigger is its back-pressure (Y-1)."""
@@ -29,17 +33,19 @@ def windowed_counts(stream: DataFrame, time: str, by: str, size: str = "1 hour",
 
 def requeued(stream: DataFrame, process, good: str, bad: str, checkpoint: str, attempts: int = 3) -> StreamingQuery:
     """Each micro-batch through ``process`` (which adds ``error``); failed rows are tried again up to ``attempts`` times
-    within the batch, then written to the dead letters (Y-3). A batch that is run again writes the same place, so each row
-    is written once."""
+    within the batch, then written to the dead letters (Y-3). The answers of a try are written before they are split, so a
+    row is processed once a try; a batch that is run again replaces all that an earlier run of it wrote."""
 
     def each(batch: DataFrame, number: int) -> None:
-        todo = batch
+        todo, parts = batch, []
         for k in range(attempts):
-            done = process(todo).persist()
-            done.where("error is null").write.mode("overwrite").parquet(f"{good}/batch={number}/try={k}")
+            done = written(process(todo), "try")
+            parts.append(done.where("error is null"))
             left = done.where("error is not null")
-            if k == attempts - 1:
-                left.write.mode("overwrite").json(f"{bad}/batch={number}")
             todo = left.select(*batch.columns)
+            if not left.limit(1).count():
+                break
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        left.write.mode("overwrite").json(f"{bad}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -74,7 +74,7 @@ def test_diff_round_trip(spark):
         assert [l for s in x.s if s.op != "[-]" for l in s.revised] == x.b
 
 
-def test_located_richness(tables, spark):
+def test_richness_takes_the_located_revision(tables, spark):
     kept = " ".join(f"Kept sentence number {k} stays." for k in range(80))
     rows = [
         {"cr_id": 1, "title": "A title", "spec": "61.497", "reason_for_change": "It was wrong.", "summary_of_change": "One added.", "consequences_if_not_approved": "Stays wrong.", "change_list": [kept, kept + " One new sentence."]},
@@ -93,18 +93,18 @@ def test_located_richness(tables, spark):
             ratio = round(n / tokens(new), 6) if n and tokens(new) else None
         want[x["cr_id"]] = ratio
     folder = tables.write(change_requests=rows)
-    got = {x.cr_id: x.richness for x in core.QUERIES["located_richness_label"](spark, folder).collect()}
+    got = {x.cr_id: x.richness for x in core.QUERIES["richness_label"](spark, folder).collect()}
     assert got == want and got[1] > 1
-    assert {x.cr_id for x in core.QUERIES["located_richness_filter"](spark, folder).collect()} == {k for k, v in want.items() if v and v >= 0.1} == {1, 2}
-    assert core.QUERIES["located_richness_distribution"](spark, folder).first().n == 2
+    assert {x.cr_id for x in core.QUERIES["richness_filter"](spark, folder).collect()} == {k for k, v in want.items() if v and v >= 0.1} == {1, 2}
+    assert core.QUERIES["richness_distribution"](spark, folder).first().n == 2
 
 
 def test_hits_hold_their_texts(spark):
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     want: dict[int, str] = {}
     for x in sorted(core.QUERIES["bm25_top20"](spark, SF).collect(), key=lambda x: (x.query_id, x["rank"])):
-        want[x.query_id] = want.get(x.query_id, "") + f"#### Change {x['rank']} Begins ####\n{texts[x.doc_id]}\n#### Change {x['rank']} Ends ####\n"
-    assert want and {x.query_id: x.joined for x in core.QUERIES["hit_text_concat"](spark, SF).collect()} == want
+        want[x.query_id] = want.get(x.query_id, "") + f"#### Change {x['rank']} Begins ####\n{texts[x.doc_id] or ''}#### Change {x['rank']} Ends ####\n"
+    assert want and {x.query_id: x.joined for x in core.QUERIES["hit_concat"](spark, SF).collect()} == want
 
 
 def test_blends():
@@ -155,6 +155,9 @@ def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(T.version_letters(F.lit("16.4.0"))) == "g40"
     assert [one(T.score_of(F.lit(x))) for x in ("2", "first s: 1, then s= -2", "I strongly disagree", "We agree.", "none")] == [2, -2, -2, 1, None]
+    assert [one(T.score_of(F.lit(x))) for x in (" 2", "s:2", "s=  1", "s= 12")] == [None, None, None, 12]
+    assert [one(T.score_of(F.lit(x), F.lit(p))) for x, p in (("Mark. is 3", 'Say "Mark.: x".'), ("Mark: 3", "no quotes"), ("Mark is 3", 'Say "Mark.: x"'))] == [None, None, None]
+    assert one(T.score_of(F.lit("The Mark: of it is 3"), F.lit('Say "Mark: x" only'))) == 3
     assert one(T.redirect_target(F.lit("https://x/url?q=https%3A%2F%2Fa%2Fb.zip&x=1"))) == "https://a/b.zip"
     assert one(T.api_endpoint(F.lit("https://api.example/v1/chat/completions"))) == "chat/completions"
     assert one(T.data_url(F.lit(b"a").cast("binary"), "image/png")) == "data:image/png;base64,YQ=="
