@@ -162,10 +162,10 @@ def redirect_target(c: C, suffix: str = ".zip") -> Column:
     return F.when(q.endswith(suffix), q)
 
 
-def parsed_bool(c: C) -> Column:
-    """yes, true, t, y, 1 and their opposites; null otherwise (P-18)."""
+def parsed_bool(c: C, strict: bool = False) -> Column:
+    """yes, true, t, y, 1 and their opposites; otherwise null, or an error where ``strict`` (P-18)."""
     v = F.lower(F.trim(col(c)))
-    return F.when(v.isin("yes", "true", "t", "y", "1"), True).when(v.isin("no", "false", "f", "n", "0"), False)
+    return F.when(v.isin("yes", "true", "t", "y", "1"), True).when(v.isin("no", "false", "f", "n", "0"), False).otherwise(F.raise_error(F.concat(F.lit("no boolean: "), F.coalesce(v, F.lit("null")))).cast("boolean") if strict else F.lit(None).cast("boolean"))
 
 
 def normalised_answer(c: C, style: str = "squad") -> Column:

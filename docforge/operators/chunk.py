@@ -1,4 +1,4 @@
-"""Document structure and chunking (X-8 .. X-14, X-17 .. X-21, W-4 .. W-7, J-8, P-9)."""
+"""Document structure and chunking (X-7, X-9 .. X-11, X-14, X-17 .. X-21, W-4 .. W-7, J-8)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from docforge.functions import text as T
 
@@ -35,16 +35,26 @@ def section_chunks(n: DataFrame, key: str = "doc_id") -> DataFrame:
 def folded(sizes: Column, limit: int, mode: str) -> Column:
     """The chunk number of each element of an ordered array of sizes, by a fold (X-11, X-12, X-19).
 
-    ``even``: a new chunk starts where the sum would pass the limit; ``block``: where the sum has reached the limit."""
-    fits = (lambda used, n: used + n <= limit) if mode == "even" else (lambda used, n: used < limit)
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("chunk"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        stays = (acc["used"] == 0) | fits(acc["used"], n)
-        chunk = acc["chunk"] + F.when(stays, F.lit(0).cast("long")).otherwise(F.lit(1).cast("long"))
-        return F.struct(F.when(stays, acc["used"] + n).otherwise(n.cast("long")).cast("long").alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    ``even``: a new chunk starts where the sum would pass the limit; ``block``: where the sum has reached the limit;
+    ``flush``: as even, but a first element over the limit starts a new one too. One pass over each array in Arrow batches,
+    since a fold that builds an array in the JVM copies it at each step."""
+
+    @pandas_udf(ArrayType(LongType()))
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            if v is None:
+                out.append(None)
+                continue
+            used, k, of = 0, 0, []
+            for n in v:
+                stays = used + n <= limit if mode == "flush" else used == 0 or (used + n <= limit if mode == "even" else used < limit)
+                used, k = (used + n, k) if stays else (n, k + 1)
+                of.append(k)
+            out.append(of)
+        return pd.Series(out)
+
+    return run(sizes)
 
 
 def sentence_chunks(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", mode: str = "even") -> DataFrame:

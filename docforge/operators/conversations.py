@@ -39,6 +39,27 @@ def format_errors(long: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
+def json_errors(lines: DataFrame, line: str = "line") -> DataFrame:
+    """One row of counters over conversations as raw JSON, one a line (V-1 .. V-7): not an object, no messages, a message
+    without role or content, one with an unknown key, one of an unknown role, one without a text, no assistant."""
+    # The keys of a message
+    known = F.array(*(F.lit(k) for k in ("role", "content", "name", "function_call", "weight")))
+    parsed = lines.select(F.json_object_keys(line).isNotNull().alias("ok"), F.from_json(F.get_json_object(line, "$.messages"), "array<string>").alias("m"))
+    read = parsed.select("ok", F.when(F.col("ok") & (F.size("m") > 0), F.transform("m", lambda x: F.struct(
+        F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")).alias("keys"), F.get_json_object(x, "$.role").alias("role"), F.get_json_object(x, "$.content").alias("content"), F.get_json_object(x, "$.function_call").alias("call"),
+        F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), "$.content", "variant")) == "STRING", F.lit(False)).alias("text"),
+    ))).alias("m"))
+    count = lambda f: F.coalesce(F.sum(F.size(F.filter("m", f))), F.lit(0))
+    role = lambda x: F.coalesce(x["role"], F.lit(""))
+    nothing = lambda x: (F.coalesce(x["content"], F.lit("")) == "") & (F.coalesce(x["call"], F.lit("")) == "")
+    return read.agg(
+        F.count_if(~F.col("ok")).alias("data_type"), F.count_if(F.col("ok") & F.col("m").isNull()).alias("missing_messages_list"),
+        count(lambda x: ~(F.array_contains(x["keys"], "role") & F.array_contains(x["keys"], "content"))).alias("message_missing_key"), count(lambda x: F.size(F.array_except(x["keys"], known)) > 0).alias("message_unrecognized_key"),
+        count(lambda x: ~role(x).isin(*ROLES)).alias("unrecognized_role"), count(lambda x: nothing(x) | ~x["text"]).alias("missing_content"),
+        F.count_if(F.col("m").isNotNull() & ~F.exists("m", lambda x: role(x) == "assistant")).alias("example_missing_assistant_message"),
+    )
+
+
 def message_tokens(long: DataFrame, key: str = "conv_id", per_message: int = 3, per_conversation: int = 3) -> DataFrame:
     """Tokens of each conversation with the overhead of its messages, and those of the assistant alone (P-29)."""
     n = T.token_count("text")
@@ -135,6 +156,50 @@ def rendered(messages: Column, template: str = "llama3") -> Column:
     return F.concat(F.lit(opener or ""), F.array_join(parts, ""))
 
 
+# Chat templates by key, as (style, the system message around {}, the user's and the assistant's opening, the
+# separators behind a user's and an assistant's message).
+_HUMAN, _USER, _MARKED = ("Human", "Assistant"), ("USER", "ASSISTANT"), ("<|im_start|>user\n", "<|im_start|>assistant\n")
+_BRACKETS = ("llama2", "[INST] <<SYS>>\n{}\n<</SYS>>\n\n", "[INST]", "[/INST]", "<s>", "</s>")
+STYLES = {
+    "v0": ("two", "{}", *_USER, " ", "</s>"), "v1": ("two", "{}", *_USER, " ", "</s>"), "vicuna_v1": ("two", "{}", *_USER, " ", "</s>"),
+    "llama_2": ("llama_2", "{}", *_USER, "<s>", "</s>"), "mistral_instruct": ("llama_2", "{}", *_USER, "", "</s>"), "chatml_direct": ("mpt", "<|im_start|>system\n{}", *_MARKED, "<|im_end|>", None),
+    "mistral_direct": ("mpt", "<|im_start|>system\n{}", *_MARKED, "<|im_end|>", None), "mpt": ("mpt", "<|im_start|>system\n{}", *_MARKED, "<|im_end|>", None), "plain": ("plain", "{}", "", "", "\n", ""), "v0_plain": ("plain", "{}", "", "", "\n", ""),
+    "llava_v0": ("single", "{}", *_HUMAN, "###", None), "v0_mmtag": ("single", "{}", *_HUMAN, "###", None), "llava_v1": ("two", "{}", *_USER, " ", "</s>"), "v1_mmtag": ("two", "{}", *_USER, " ", "</s>"),
+    "llava_llama_2": ("llama_2", "{}", *_USER, "<s>", "</s>"), "codellama": _BRACKETS, "llama2": _BRACKETS,
+    "llama3": ("mpt", "<|start_header_id|>system<|end_header_id|>\n\n{}", "<|start_header_id|>user<|end_header_id|>\n\n", "<|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>", None),
+}
+STYLES["default"] = STYLES["v0"]
+
+
+def styled(messages: Column, system: Column, template: str) -> Column:
+    """User and assistant messages, in turn, behind a system message, in the style of a template (T-g). A message that is
+    null or empty leaves its opening alone, where the style has one."""
+    style, around, user, assistant, sep, sep2 = STYLES[template]
+    other = sep if sep2 is None else sep2
+    framed = F.replace(F.lit(around), F.lit("{}"), F.coalesce(system, F.lit("")))
+    even = lambda i: i % 2 == 0
+    name = lambda i: F.when(even(i), user).otherwise(assistant)
+    end = lambda i: F.when(even(i), sep).otherwise(other)
+    text = lambda m: F.coalesce(m["content"], F.lit(""))
+    parts = {
+        "single": lambda m, i: F.when(text(m) != "", F.concat(name(i), F.lit(": "), text(m), F.lit(sep))).otherwise(F.concat(name(i), F.lit(":"))),
+        "two": lambda m, i: F.when(text(m) != "", F.concat(name(i), F.lit(": "), text(m), end(i))).otherwise(F.concat(name(i), F.lit(":"))),
+        "mpt": lambda m, i: F.concat(name(i), F.when(text(m) != "", F.concat(text(m), F.lit(sep))).otherwise("")),
+        "plain": lambda m, i: F.when(text(m) != "", F.concat(text(m), end(i))).otherwise(""),
+        "llama2": lambda m, i: F.when(text(m) == "", name(i)).when(i == 0, F.concat(text(m), F.lit(" "))).otherwise(F.concat(name(i), F.lit(" "), text(m), end(i))),
+        "llama_2": lambda m, i: F.when(text(m) == "", "").when(even(i), F.concat(F.when(i > 0, sep).otherwise(""), F.lit("[INST] "), F.when((i == 0) & (framed != ""), F.concat(F.lit("<<SYS>>\n"), framed, F.lit("\n<</SYS>>\n\n"))).otherwise(""), text(m), F.lit(" [/INST]"))).otherwise(F.concat(F.lit(" "), text(m), F.lit(" "), F.lit(other))),
+    }[style]
+    body = F.array_join(F.transform(messages, parts), "")
+    return body if style == "llama_2" else F.concat(framed, F.lit(sep if style in ("single", "two", "mpt") else ""), body)
+
+
+def by_verdict(df: DataFrame, verdict: Column, answer: str, keep: str = "YES", invalid: str = "Invalid QUERY", canned: str = "The query is invalid.") -> DataFrame:
+    """Rows of the verdict that is kept, with their answer, and rows of an invalid query with a stock answer; others and
+    null verdicts are dropped (F-13)."""
+    v = df.withColumn("_verdict", verdict).where(F.col("_verdict").isin(keep, invalid))
+    return v.withColumn(answer, F.when(F.col("_verdict") == keep, F.col(answer)).otherwise(canned)).drop("_verdict")
+
+
 def without_system(messages: Column) -> Column:
     """The system message merged into the first user message, for models without a system role (T-i)."""
     merged = F.struct(F.lit("user").alias("role"), F.concat_ws("\n\n", messages[0]["content"], F.try_element_at(messages, F.lit(2))["content"]).alias("content"))

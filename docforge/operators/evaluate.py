@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from docforge.functions import text as T
 
@@ -139,10 +140,61 @@ def desirable_response(gold: Column, task: Column, by_task: dict[str, Column], d
     return F.when(F.length(F.coalesce(gold, F.lit(""))) > 0, gold).otherwise(other)
 
 
+# The fields that each task needs where there is no gold answer.
+NEEDED = {
+    "fill-cr": ["summary_of_change", "reason_for_change", "consequences_if_not_approved"],
+    "outline-revision": ["summary_of_change"],
+    "diff-analysis": ["summary_of_change", "reason_for_change", "consequences_if_not_approved"],
+}
+
+
 def evaluable(gold: Column, task: Column, needed: dict[str, list[str]]) -> Column:
-    """Whether an instance can be judged: a gold answer, or all fields that its task needs (F-18). An unknown task is not."""
+    """Whether an instance can be judged: a gold answer, or all fields that its task needs (F-18). An unknown task without a
+    gold answer is an error."""
     filled = lambda names: F.forall(F.array(*(F.coalesce(F.col(n), F.lit("")) for n in names)), lambda x: x != "")
-    ok = F.lit(False)
+    ok = F.raise_error(F.concat(F.lit("unknown task "), F.coalesce(task, F.lit("null")))).cast("boolean")
     for name, fields in needed.items():
         ok = F.when(task == name, filled(fields)).otherwise(ok)
-    return (F.length(F.coalesce(gold, F.lit(""))) > 0) | ok
+    return F.when(F.length(F.coalesce(gold, F.lit(""))) > 0, True).otherwise(ok)
+
+
+@pandas_udf(ArrayType(LongType()))
+def _bleu_counts(prediction: pd.Series, gold: pd.Series) -> pd.Series:
+    import re
+
+    out = []
+    for p, g in zip(prediction, gold):
+        if p is None or g is None:
+            out.append([0] * 10)
+            continue
+        a, b = (re.findall(r"\w+|[^\w\s]", x) for x in (p, g))
+        same, total = [], []
+        for n in range(1, 5):
+            x, y = (Counter(tuple(v[i : i + n]) for i in range(len(v) - n + 1)) for v in (a, b))
+            same.append(sum((x & y).values()))
+            total.append(sum(x.values()))
+        out.append([len(a), len(b), *same, *total])
+    return pd.Series(out)
+
+
+def corpus_bleu(df: DataFrame, prediction: Column, gold: Column, by: list[str]) -> DataFrame:
+    """(by.., n, bleu): BLEU of all pairs of a group together, with exponential smoothing (M-3): the counts of clipped
+    n-grams are summed over the pairs, so a group costs ten numbers. A null text counts as empty; 0 without any word."""
+    counts = df.select(*by, _bleu_counts(prediction, gold).alias("c"))
+    sums = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(10)))
+    missed = [F.lit(0)]
+    for k in range(4):
+        missed.append(missed[-1] + (F.col(f"c{2 + k}") == 0).cast("int"))
+    logs = sum((F.log(F.when(F.col(f"c{2 + k}") > 0, F.col(f"c{2 + k}") / F.col(f"c{6 + k}")).otherwise(1 / (F.pow(F.lit(2.0), missed[k + 1]) * F.col(f"c{6 + k}")))) for k in range(4)), F.lit(0.0))
+    short = F.least(F.lit(1.0), F.exp(1 - F.col("c1") / F.col("c0")))
+    return sums.select(*by, "n", F.round(F.when((F.col("c0") > 0) & (F.col("c1") > 0) & (F.col("c9") > 0), 100 * short * F.exp(logs / 4)).otherwise(0.0), 6).alias("bleu"))
+
+
+def judged(df: DataFrame, key: str, prompt: str, call: Callable[[DataFrame], DataFrame], repetitions: int) -> DataFrame:
+    """(key, majority, variance, n) of a judge asked ``repetitions`` times (M-6); ``call`` adds ``answer``. A case whose
+    answers do not all hold a score is an error."""
+    asked = df.select(key, F.col(prompt).alias("prompt"), F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+    scores = call(asked).select(key, T.score_of("answer").alias("score"))
+    per = majority(scores, key)
+    wrong = F.raise_error(F.concat(F.lit("scores found: "), F.coalesce(F.col("n"), F.lit(0)).cast("string"))).cast("long")
+    return df.select(key).distinct().join(per, key, "left").withColumn("n", F.when(F.coalesce(F.col("n"), F.lit(0)) == repetitions, F.col("n")).otherwise(wrong))

@@ -1,8 +1,9 @@
-"""Mixing, sampling, order and evolution of training sets (D-*, O-3 .. O-8, W-9, W-10, J-9, J-11, P-22 .. P-24)."""
+"""Mixing, sampling and order of training sets (D-1 .. D-3, D-6, O-3 .. O-8, W-9, W-10, J-11, P-23, P-24)."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docforge.functions import text as T
 
-#: Order of the tasks of a curriculum; rows of other tasks come last or not at all.
+# Order of the tasks of a curriculum; rows of other tasks come last or not at all.
 CURRICULUM = ("general", "outline-revision", "diff-analysis", "explain-vuln", "fill-cr")
 
 
@@ -25,29 +26,45 @@ def normalised_weights(weights: list[float]) -> list[float]:
 def blend(weights: list[float], size: int | None = None, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Dataset and sample number of each place: at each step the dataset that lags most behind its share, the first of
     equals (D-2). With ``sizes`` instead of ``size``, until all are spent, a spent one being left out (D-3)."""
+    parts = list(blend_blocks(weights, size, sizes, 1_000_000))
+    if not parts:
+        return np.empty(0, dtype=np.int16), np.empty(0, dtype=np.int64)
+    return np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+
+def blend_blocks(weights: list[float], size: int | None, sizes: list[int] | None, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places, datasets and samples of a blend, a block at a time."""
     w = np.array(normalised_weights(weights))
     total = size if size is not None else int(sum(sizes or []))
     left = None if sizes is None or size is not None else np.array(sizes)
     taken = np.zeros(len(w), dtype=np.int64)
-    which, sample = np.empty(total, dtype=np.int16), np.empty(total, dtype=np.int64)
-    for t in range(total):
-        lag = w * max(t, 1) - taken
-        if left is not None:
-            lag = np.where(taken < left, lag, -np.inf)
-        k = int(np.argmax(lag))
-        which[t], sample[t] = k, taken[k]
-        taken[k] += 1
-    return which, sample
+    for first in range(0, total, block):
+        n = min(block, total - first)
+        which, sample = np.empty(n, dtype=np.int16), np.empty(n, dtype=np.int64)
+        for t in range(n):
+            lag = w * max(first + t, 1) - taken
+            if left is not None:
+                lag = np.where(taken < left, lag, -np.inf)
+            k = int(np.argmax(lag))
+            which[t], sample[t] = k, taken[k]
+            taken[k] += 1
+        yield np.arange(first, first + n, dtype=np.int64), which, sample
 
 
 def blended(spark: SparkSession, weights: list[float], size: int | None = None, sizes: list[int] | None = None, block: int = 1_000_000) -> DataFrame:
     """(pos, dataset_id, sample_id): the blend as an index, to be joined to the samples on (dataset_id, sample_id) (J-9).
-    The recurrence is sequential, so it is made on the driver; it has three numbers a place."""
-    which, sample = blend(weights, size, sizes)
-    import pandas as pd
+    The recurrence is sequential, so one task makes it; it hands on blocks of ``block`` places and holds one of them, so
+    neither it nor the driver holds the index."""
+    import pyarrow as pa
+
+    normalised_weights(weights)
+
+    def run(batches):
+        for _ in batches:
+            for pos, which, sample in blend_blocks(weights, size, sizes, block):
+                yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(which.astype(np.int32)), pa.array(sample)], names=["pos", "dataset_id", "sample_id"])
 
-    pdf = pd.DataFrame({"pos": np.arange(len(which), dtype=np.int64), "dataset_id": which.astype(np.int32), "sample_id": sample})
-    return spark.createDataFrame(pdf, "pos long, dataset_id int, sample_id long")
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "pos long, dataset_id int, sample_id long")
 
 
 def curriculum(df: DataFrame, key: str, stages: tuple[str, ...] = CURRICULUM, seed: int = 0, others: bool = False) -> DataFrame:

@@ -789,3 +789,6 @@ def random_partners(spark, d):
 def pricing_summary(spark, d):
     rows = table(spark, d, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+from docforge.plans import more  # noqa: E402,F401  registers its queries

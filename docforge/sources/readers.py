@@ -1,4 +1,4 @@
-"""Readers (S-1 .. S-15, Q-1, Q-26): JSON lines, conversations, CSV, raw text, listings, archives, office documents, HTML."""
+"""Readers (S-1 .. S-14, F-16, Q-1, Q-6, Q-10, Q-26): JSON lines, conversations, CSV, raw text, listings, archives, office documents, HTML."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -146,7 +146,8 @@ _NODE = "path string, pos long, kind string, style string, text string, rows arr
 
 
 def office_documents(files: DataFrame, accept: bool = True) -> DataFrame:
-    """Nodes of office documents (path, content); broken documents have none (S-9, X-7)."""
+    """Nodes of office documents (path, content), in order; a broken document has one row, of the kind ``error`` with the
+    fault as its text (S-9, X-7, K-7)."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -154,8 +155,8 @@ def office_documents(files: DataFrame, accept: bool = True) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     rows += [(path, *n) for n in docx_nodes(content, accept)]
-                except Exception:
-                    continue
+                except Exception as e:
+                    rows.append((path, 0, "error", None, type(e).__name__, None))
             yield pd.DataFrame(rows, columns=["path", "pos", "kind", "style", "text", "rows"])
 
     return files.select("path", "content").mapInPandas(run, _NODE)
@@ -178,8 +179,58 @@ def office_properties(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_count int, figure_modified_flag boolean, table_modified_flag boolean")
 
 
-#: Labels of a form's cells and the field that the next cell holds; the longer label is tried first.
+def change_requests_only(nodes: DataFrame, mark: str = "CHANGE REQUEST") -> DataFrame:
+    """(path, is_change_request): whether any cell of a document's tables holds the mark (F-16)."""
+    held = F.exists(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), lambda c: F.contains(c, F.lit(mark)))
+    return nodes.groupBy("path").agg(F.max(F.coalesce(held, F.lit(False))).alias("is_change_request"))
+
+
+def fixed_cells(nodes: DataFrame, cells: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """(path, a column a field): the cells at (table, row, cell), from 0, of each document (Q-6); absent ones are null."""
+    order = Window.partitionBy("path").orderBy("pos")
+    tables = nodes.where("kind = 'table'").withColumn("t", F.row_number().over(order) - 1)
+    at = lambda t, r, c: F.max(F.when(F.col("t") == t, F.get(F.get("rows", F.lit(r)), F.lit(c))))
+    return tables.groupBy("path").agg(*(at(*place).alias(name) for name, place in cells.items()))
+
+
+def figures(files: DataFrame) -> DataFrame:
+    """(path, member, content): the images in office documents (Q-10); broken documents have none."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if zipfile.is_zipfile(io.BytesIO(content)):
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows += [(path, n, z.read(n)) for n in z.namelist() if n.startswith("word/media/")]
+            yield pd.DataFrame(rows, columns=["path", "member", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+
+
+def specification_urls(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """(spec, url) of wanted (spec, version) and archive pages (release, spec, version, url): the exact version if one is
+    named, else the newest release that has the specification (S-13)."""
+    both = wanted.withColumnRenamed("version", "_version").join(pages, "spec").where("_version is null or _version = version")
+    return both.groupBy("spec").agg(F.max_by("url", F.struct("release", "version")).alias("url"))
+
+
+def resume_offsets(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """(name, offset): from which byte each wanted file (name, length) is still to be fetched (S-11); complete ones are left
+    out, one that is longer than it should be starts anew. The transfer itself is the caller's."""
+    both = wanted.select("name", "length").join(present.select("name", F.col("length").alias("_have")), "name", "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    return both.where("_have <> length").select("name", F.when(F.col("_have") < F.col("length"), F.col("_have")).otherwise(0).cast("long").alias("offset"))
+
+
+def instances(spark: SparkSession, path: str, record: StructType | str) -> DataFrame:
+    """Instances written as JSON lines, with their change request and hits as nested records (Q-1)."""
+    kind = record if isinstance(record, str) else record.simpleString()
+    return spark.read.schema(f"task string, query string, response string, gold_response string, cr {kind}, hits array<struct<doc_id:bigint,score:double,text:string>>").json(path)
+
+
+# Labels of a form's cells and the field that the next cell holds; the longer label is tried first.
 FORM_LABELS = {
+    "current version:": "current_version", "specnumber": "spec", "other core specifications": "other_core", "test specifications": "other_test", "o&m specifications": "other_o_and_m",
     "source to wg": "source_to_wg", "source to tsg": "source_to_tsg", "source": "source", "title": "title", "work item code": "work_item_code", "date": "date", "category": "category",
     "reason for change": "reason_for_change", "summary of change": "summary_of_change", "consequences if not": "consequences_if_not_approved", "clauses affected": "clauses_affected",
     "other comments": "other_comments", "current version": "current_version",
@@ -188,8 +239,10 @@ FORM_LABELS = {
 
 def form_fields(nodes: DataFrame) -> DataFrame:
     """(path, field, value): the cell behind each labelled cell of a form's tables; the last one wins (X-16, W-8, T-11, T-12)."""
-    cells = nodes.where("kind = 'table'").select("path", "pos", F.posexplode("rows").alias("r", "row")).select("path", "pos", "r", F.posexplode("row").alias("c", "cell"))
-    pairs = cells.alias("a").join(cells.alias("b"), F.expr("a.path = b.path and a.pos = b.pos and a.r = b.r and b.c = a.c + 1")).select("a.path", "a.pos", "a.r", F.lower(F.trim("a.cell")).alias("label"), F.trim("b.cell").alias("value"))
+    # one pass: all cells of a table in reading order, each with the one before it, in the same row or the row above
+    flat = nodes.where("kind = 'table'").select("path", "pos", F.transform(F.flatten("rows"), lambda c: F.trim(c)).alias("cells"))
+    cells = flat.select("path", "pos", F.posexplode(F.arrays_zip(F.slice("cells", 1, F.greatest(F.size("cells") - 1, F.lit(0))).alias("label"), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("value"))).alias("r", "x"))
+    pairs = cells.select("path", "pos", "r", F.lower("x.label").alias("label"), F.col("x.value").alias("value"))
     field = F.lit(None).cast("string")
     for label in sorted(FORM_LABELS, key=len):
         field = F.when(F.col("label").startswith(label), FORM_LABELS[label]).otherwise(field)
