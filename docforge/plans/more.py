@@ -65,12 +65,12 @@ def verdict_filter(spark, d):
 # --- structure ---
 
 
-@query(f"""with {_NODES}, b as (select *, max((style = 'Heading' and contains(text, 'General'))::int) over (partition by doc_id order by pos) as begun from nodes), k as (select doc_id, pos, {_tok('text')}::bigint as size from b where begun = 1 and style <> 'TH'),
+@query(f"""with {_NODES}, b as (select *, max((style = 'Heading' and contains(text, 'Unexpected'))::int) over (partition by doc_id order by pos) as begun from nodes), k as (select doc_id, pos, {_tok('text')}::bigint as size from b where begun = 1 and style <> 'TH'),
  l as (select doc_id, list(size order by pos) as sizes from k group by 1),
  x as (select doc_id, unnest(list_reduce(sizes, lambda a, n: struct_pack(used := case when a.used + n <= 60 then a.used + n else n end, chunk := a.chunk + case when a.used + n <= 60 then 0 else 1 end, out := list_append(a.out, struct_pack(c := a.chunk + case when a.used + n <= 60 then 0 else 1 end, n := n))),
   struct_pack(used := 0::bigint, chunk := 0::bigint, out := []::struct(c bigint, n bigint)[])).out) as o from l) select doc_id, o.c as chunk, count(*) as n_nodes, sum(o.n)::bigint as n_tokens from x group by 1, 2""")
 def size_aware_chunks(spark, d):
-    return structure.size_aware(_nodes(spark, d), 60)
+    return structure.size_aware(_nodes(spark, d), 60, start="Unexpected")
 
 
 @query()
@@ -95,17 +95,22 @@ def named_contents(spark, d):
     return table(spark, d, "documents").select("doc_id", structure.named_contents(F.col("doc_kind"), F.col("text")).alias("encoded"))
 
 
-@query(f"with {_NODES}, r as (select doc_id, pos, row_number() over (partition by doc_id order by pos) as k from nodes where style = 'TH') select doc_id, pos from r where k <= 51")
-def table_row_cap(spark, d):
-    rows = _nodes(spark, d).where("style = 'TH'").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("pos")), 1, 51).alias("p"))
-    return rows.select("doc_id", F.explode("p").alias("pos"))
+_ROWS = """l as (select cr_id, generate_subscripts(l, 1) as k, unnest(l) as t from (select cr_id, regexp_split_to_array(change_list[1], '\\r?\\n') as l from change_requests)),
+ r as (select cr_id, row_number() over (partition by cr_id order by k) as k, list_transform(list_slice(string_split(t, '|'), 2, len(string_split(t, '|')) - 1), lambda x: trim(x, ' ')) as cells from l where starts_with(t, '|'))"""
 
 
-@query(f"""with {_NODES}, t as (select doc_id, pos, text from nodes where style = 'TH') select doc_id, '|' || title || '|n|' || chr(10) || '|:-:|:-:|' || chr(10) || '|' || 'rows' || '|' || n || '|' as markdown from (select doc_id, count(*) as n, 'table of ' || doc_id as title from t group by 1)""")
+def _table_rows(spark, d):
+    """(cr_id, rows): the cells of the table lines of each original side."""
+    lines = F.filter(F.split(_side(0), r"\r?\n"), lambda t: F.startswith(t, F.lit("|")))
+    cells = F.transform(lines, lambda t: F.transform(F.slice(F.split(t, r"\|"), F.lit(2), F.greatest(F.size(F.split(t, r"\|")) - 2, F.lit(0))), lambda c: F.trim(c)))
+    return _cr(spark, d).select("cr_id", cells.alias("rows")).where("size(rows) > 0")
+
+
+@query(f"""with {_ROWS}, c as (select * from r where k <= 51), w as (select cr_id, count(distinct len(cells)) as widths, max(len(cells)) as width from c group by 1)
+ select cr_id, case when widths = 1 then string_agg('|' || array_to_string(list_transform(cells, lambda x: x || '|'), '') || case when k = 1 then chr(10) || '|' || repeat(':-:|', width) else '' end, chr(10) order by k) else string_agg(array_to_string(cells, ' | '), chr(10) order by k) end as markdown from c join w using (cr_id) group by cr_id, widths""")
 def table_markdown(spark, d):
-    per = _nodes(spark, d).where("style = 'TH'").groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
-    rows = F.array(F.array(F.concat(F.lit("table\nof\n"), F.col("doc_id").cast("string")), F.lit("n")), F.array(F.lit("rows"), F.col("n")))
-    return per.select("doc_id", chunk.table_markdown(rows).alias("markdown"))
+    """Tables of the original sides, 51 rows of each at most (X-9, O-9: the cap is the operator's purpose)."""
+    return _table_rows(spark, d).select("cr_id", chunk.table_markdown(F.col("rows"), 51).alias("markdown"))
 
 
 # --- training data ---
