@@ -139,9 +139,9 @@ def partners(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return other.join(r.select(F.col(key).alias("partner"), F.col("rank").alias("_other")), "_other").select(key, "partner")
 
 
-def length_grouped(lengths: list[int], batches: int, world: int, seed: int = 0) -> list[int]:
+def length_grouped(lengths: list[int], batches: int, world: int, seed: int = 0, shuffled: bool = True) -> list[int]:
     """Order of samples in which each megabatch is sorted by length and dealt to ``world`` ranks with even sums (O-6)."""
-    order = np.random.default_rng(seed).permutation(len(lengths))
+    order = np.random.default_rng(seed).permutation(len(lengths)) if shuffled else np.arange(len(lengths))
     mega, out = batches * world, []
     for k in range(0, len(order), mega):
         part = sorted(order[k : k + mega].tolist(), key=lambda i: (-lengths[i], i))
@@ -163,6 +163,24 @@ def length_grouped(lengths: list[int], batches: int, world: int, seed: int = 0)
     return out
 
 
+def length_groups(df: DataFrame, key: str, length: str, batches: int, world: int, seed: int = 0) -> DataFrame:
+    """(key, place) of rows in length-grouped order (O-6): rows in a hashed order fall into megabatches of ``batches * world``,
+    each is sorted by length and dealt to the ranks with even sums. A megabatch is bounded, so it is one task's; nothing is
+    gathered beside it."""
+    mega = batches * world
+    shuffled = ranked(df.select(key, length, F.xxhash64(key, F.lit(seed)).alias("_h")), "_h", key)
+    placed = shuffled.select(key, length, F.floor((F.col("rank") - 1) / mega).alias("_mega"), F.pmod(F.col("rank") - 1, F.lit(mega)).alias("_at"))
+
+    def deal(pdf):
+        pdf = pdf.sort_values("_at")
+        order = length_grouped(pdf[length].tolist(), batches, world, shuffled=False)
+        out = pdf.iloc[order][[key]].copy()
+        out["place"] = int(pdf["_mega"].iloc[0]) * mega + np.arange(len(out))
+        return out
+
+    return placed.groupBy("_mega").applyInPandas(deal, f"{key} {dict(df.dtypes)[key]}, place long")
+
+
 def fanned_out(df: DataFrame, n: int, response: str = "response_text") -> DataFrame:
     """Each row n times, numbered, with its response kept as the original one (D-6)."""
     return df.withColumn("original_response", F.col(response)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +61,122 @@ def run_size(tests: DataFrame, text: str = "text", least: int = 8, most: int = 1
     return max(least, min(most, int(row.p))) if row and row.p is not None else most
 
 
+#: Runs of the tests that may be sent to every worker, at most (8 bytes each); beyond it the runs are joined by shuffle.
+MOST_RUNS = 4_000_000
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+_ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, 65)], dtype=np.uint64)
+
+
+class _Hashes(dict):
+    """64-bit hash of a word, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def run_hashes(text: str | None, n: int) -> np.ndarray:
+    """Signed 64-bit hashes of all runs of n words between white space, in order."""
+    ws = [w for w in _WHITE.split(text or "") if w]
+    size = len(ws) - n + 1
+    if size <= 0:
+        return np.empty(0, dtype=np.int64)
+    h = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
+    x = np.zeros(size, dtype=np.uint64)
+    for k in range(n):
+        x += h[k : k + size] * _ODD[k]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _runs(df: DataFrame, key: str, n: int, wanted=None) -> DataFrame:
+    """(key, gram): the different runs of each row, or those among ``wanted`` (a broadcast sorted array)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, grams = [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g = run_hashes(text, n)
+                if wanted is not None and len(g):
+                    at = np.searchsorted(wanted.value, g)
+                    at[at == len(wanted.value)] = 0
+                    g = g[wanted.value[at] == g] if len(wanted.value) else g[:0]
+                if len(g):
+                    g = np.unique(g)
+                    keys.append(np.full(len(g), k, dtype=np.int64))
+                    grams.append(g)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams))], names=[key, "gram"])
+
+    return df.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, gram long")
+
+
 def contamination(docs: DataFrame, tests: DataFrame, n: int) -> DataFrame:
-    """(item_id, doc_id, n_grams): test items and documents that share runs of n words, and how many different ones (J-3,
-    R-5, R-6, A-16). The tests' runs are the small side of the join; duplicates of a document's runs are dropped after it.
-    The words are a column of their own, as an expression inside a lambda would be computed again for each run; a run is
-    joined by its 64-bit hash, so no strings are built or moved."""
-    runs = lambda df, key: df.select(key, T.white_words("text").alias("w")).where(F.size("w") >= n).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))).alias("gram"))
-    asked, grams = runs(tests, "item_id").distinct(), runs(docs, "doc_id")
+    """(item_id, doc_id, n_grams): test items and documents that share runs of n words (64 at most), and how many different
+    ones (J-3, R-5, R-6, A-16). The tests' runs, if they are few enough, go to every worker and are looked up while the
+    documents are read, so only hits leave a task; more of them are joined. Null texts have no runs."""
+    from docforge.functions.work import written
+
+    asked = written(_runs(tests, "item_id", n).distinct(), "test-runs")
+    if asked.count() <= MOST_RUNS:
+        known = np.unique(np.array([r.gram for r in asked.select("gram").distinct().collect()], dtype=np.int64))
+        grams = _runs(docs, "doc_id", n, docs.sparkSession.sparkContext.broadcast(known))
+    else:
+        grams = _runs(docs, "doc_id", n)
     return asked.join(grams, "gram").groupBy("item_id", "doc_id").agg(F.countDistinct("gram").alias("n_grams"))
 
 
+#: Numbers of the queries' vectors that are sent to every worker at a time, at most.
+BLOCK = 4_000_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) of the k nearest of ``vectors`` (vec_id, embedding) to each of ``queries`` (query_id,
+    embedding) by cosine, rounded to six places, ties by id (P-25, M-5). The queries go to the workers in blocks of a checked
+    size, each task multiplies matrices and keeps its best k of a query, so a block costs k rows a task and query. A vector
+    that is null, empty or without length has no neighbours; a query is no neighbour of itself."""
+    q = queries.where("size(embedding) > 0").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-size.n * (size.d or 1) // BLOCK))
+    rows = vectors.where("size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def scored(block: int) -> DataFrame:
+        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        ids, m = np.array([r.query_id for r in some], dtype=np.int64), np.array([r.embedding for r in some], dtype=float).reshape(len(some), -1)
+        length = np.linalg.norm(m, axis=1)
+        ids, m = ids[length > 0], m[length > 0] / length[length > 0, None]
+        shared = rows.sparkSession.sparkContext.broadcast((ids, m))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            best_id, best = np.full((len(ids), 0), -1, dtype=np.int64), np.empty((len(ids), 0))
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                x = np.array(b.column(1).to_pylist(), dtype=float)
+                n = np.linalg.norm(x, axis=1)
+                v, x = b.column(0).to_numpy()[n > 0], x[n > 0] / n[n > 0, None]
+                c = np.round(m @ x.T, 6)
+                c[ids[:, None] == v[None, :]] = -np.inf
+                best, best_id = np.hstack([best, c]), np.hstack([best_id, np.broadcast_to(v, c.shape)])
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+            keep = best > -np.inf
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "cosine"])
+
+        return rows.mapInArrow(run, "query_id long, vec_id long, cosine double")
+
+    every = reduce(DataFrame.union, (scored(b) for b in range(blocks)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def overlap_summary(pairs: DataFrame) -> DataFrame:
     """One row: contaminated items, documents and pairs (A-16, R-7)."""
     return pairs.agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_pairs"), F.sum("n_grams").alias("n_grams"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
@@ -571,12 +571,8 @@ def desirable_response(spark, d):
 @query("""with v as (select vec_id, embedding from embeddings), q as (select * from v where vec_id % 20 = 0),
  s as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as cosine from q join v on q.vec_id <> v.vec_id), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select query_id, vec_id, cosine, rank from r where rank <= 5""")
 def embedding_cosine_topk(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    lengths = v.select("vec_id", "embedding", F.sqrt(T.dot("embedding", "embedding")).alias("length"))
-    q = lengths.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("length").alias("q_length"))
-    scored = q.join(lengths, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(F.try_divide(T.dot("q", "embedding"), F.col("q_length") * F.col("length")), 6).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return scored.withColumn("rank", rank).where("rank <= 5")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieve.nearest(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5)
 
 
 # --- retrieval ---

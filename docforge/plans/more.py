@@ -196,3 +196,8 @@ def evaluable(spark, d):
 @query()
 def corpus_bleu(spark, d):
     return evaluate.corpus_bleu(_cr(spark, d).where("data_split is not null"), F.col("response_text"), F.col("gold_response"), ["data_split"])
+
+
+@query()
+def length_grouped_order(spark, d):
+    return mix.length_groups(table(spark, d, "documents").where("n_chars is not null").select("doc_id", "n_chars"), "doc_id", "n_chars", 8, 4)
