@@ -1,4 +1,4 @@
-"""Calls of a language model as a pluggable function, with throttle, retry and dead letters (Y-2, Y-3, Q-12 .. Q-15, M-6, A-18)."""
+"""Calls of a language model as a pluggable function, with throttle, retry and dead letters (Y-2, Q-12, A-18)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Registries of tasks and framings, and the texts built from records (J-6, J-10, P-32, T-a .. T-f, Q-19, Q-24)."""
+"""Registries of tasks and framings, and the texts built from records (J-6, J-10, T-a .. T-d, T-f, T-j, Q-19, Q-27, Q-29)."""
 
 from __future__ import annotations
 
@@ -74,6 +74,23 @@ TASKS = (("fill-cr", "fc", "fill in a change request"), ("outline-revision", "or
 MODELS = (("large", 500, 250_000, 128_000), ("medium", 500, 250_000, 128_000), ("small", 1000, 500_000, 16_385))
 
 
+def model_limits(model: str) -> dict[str, int]:
+    """Requests and tokens a minute and the context of a model (J-6); an unknown one is an error."""
+    for name, *limits in MODELS:
+        if name == model:
+            return dict(zip(("rpm", "tpm", "context"), limits))
+    raise KeyError(f"no model named {model}; there are {', '.join(m[0] for m in MODELS)}")
+
+
+def with_task(df: DataFrame, task: str = "task") -> DataFrame:
+    """Rows with the acronym and description of their task, by a literal map (J-6); an unknown task is an error, a null one has
+    neither."""
+    known = F.create_map(*(x for name, acronym, text in TASKS for x in (F.lit(name), F.struct(F.lit(acronym).alias("acronym"), F.lit(text).alias("description")))))
+    found = F.try_element_at(known, F.col(task))
+    miss = F.raise_error(F.concat(F.lit("unknown task "), F.col(task))).cast("struct<acronym:string,description:string>")
+    return df.withColumn("_task", F.when(F.col(task).isNull(), F.lit(None)).otherwise(F.coalesce(found, miss))).select("*", "_task.acronym", "_task.description").drop("_task")
+
+
 def task_table(spark: SparkSession) -> DataFrame:
     """The dimension of tasks (J-6): a handful of rows."""
     return spark.createDataFrame(list(TASKS), "task string, acronym string, description string")

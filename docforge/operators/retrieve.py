@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from docforge.functions import text as T
 
 
+#: Different words of all queries that are looked up while the documents are read, at most; more of them are joined.
+MOST_TERMS = 20_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query (R-1, O-1). ``docs`` has doc_id and text,
     ``queries`` query_id and text; words are lower-cased tokens of letters and digits; equal scores are ranked by id.
@@ -25,11 +29,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 0.9, b: f
 
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     asked = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("term"))
-    # written first, so the planner knows its size and broadcasts it while it is small
     wanted = written(asked.select("term").distinct(), "terms")
-    split = docs.select("doc_id", words("text").alias("w")).where("w is not null").select("doc_id", F.size("w").alias("size"), F.explode_outer("w").alias("term"))
+    texts = docs.select("doc_id", words("text").alias("w")).where("w is not null").select("doc_id", F.size("w").alias("size"), "w")
     # one pass over the texts: a row a document for its size (term null), and one a wanted term
-    kept = split.join(wanted.withColumn("_wanted", F.lit(1)), "term", "left").select("doc_id", "size", F.when(F.col("_wanted") == 1, F.col("term")).alias("term"))
+    if wanted.count() <= MOST_TERMS:
+        terms = [r.term for r in wanted.collect()]
+        kept = texts.select("doc_id", "size", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter("w", lambda x: x.isin(terms)))).alias("term"))
+    else:
+        split = texts.select("doc_id", "size", F.explode_outer("w").alias("term"))
+        kept = split.join(wanted.withColumn("_wanted", F.lit(1)), "term", "left").select("doc_id", "size", F.when(F.col("_wanted") == 1, F.col("term")).alias("term"))
     counted = written(kept.groupBy("doc_id", "size", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     stats = counted.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("mean_size"))
     tf = counted.where("term is not null")

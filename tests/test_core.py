@@ -403,6 +403,31 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert {x.query_id for x in got} == set(range(0, 60, 5))
 
 
+def test_lookups(spark):
+    assert prompts.model_limits("small")["rpm"] == 1000
+    with pytest.raises(KeyError):
+        prompts.model_limits("none")
+    df = spark.createDataFrame([("fill-cr",), (None,)], "task string")
+    assert {(r.task, r.acronym) for r in prompts.with_task(df).collect()} == {("fill-cr", "fc"), (None, None)}
+    with pytest.raises(Exception, match="unknown task"):
+        prompts.with_task(spark.createDataFrame([("odd",)], "task string")).collect()
+
+
+def test_bm25_both_ways(spark, monkeypatch):
+    from docforge.operators import retrieve
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b d"), (3, ""), (4, None), (5, "A, a; a")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a d"), (8, "none"), (9, None)], "query_id long, text string")
+    sizes, n, df = {1: 4, 2: 2, 3: 0, 5: 3}, 4, {"a": 2, "d": 1}
+    tf = {("a", 1): 2, ("a", 5): 3, ("d", 2): 1}
+    mean = sum(sizes.values()) / n
+    want = {d: round(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c / (c + 0.9 * (1 - 0.4 + 0.4 * sizes[d] / mean)), 6) for (t, d), c in tf.items()}
+    for most in (100, 0):
+        monkeypatch.setattr(retrieve, "MOST_TERMS", most)
+        got = retrieve.bm25(docs, asked, 20).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want) and {r.query_id for r in got} == {7}
+
+
 def test_contamination_both_ways(spark, monkeypatch):
     from docforge.operators import retrieve
 
